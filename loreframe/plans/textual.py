@@ -13,7 +13,17 @@ from loreframe.plans.bindings_sql import WS, compact, register, strip
 from loreframe.plans.registry import query
 from loreframe.sources.tables import Tables
 
-ITEMS = "list_filter(list_transform({}, lambda x: " + strip("x") + "), lambda x: x <> '')"
+
+
+class _Items:
+    """Oracle text for a cleaned list; ``format`` takes the list expression."""
+
+    @staticmethod
+    def format(expr: str) -> str:
+        return f"list_filter(list_transform({expr}, lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+ITEMS = _Items
 
 
 def joined(name: str):
@@ -36,10 +46,8 @@ def text_truncate(t: Tables) -> DataFrame:
 
 @query(
     "clean_list",
-    f"""SELECT item_id, form, array_to_string({ITEMS.format("string_split(body, ',')")}, '|') AS items FROM (
-      SELECT item_id, 'csv' AS form, text AS body FROM benchmark
-      UNION ALL SELECT item_id, 'json', string_split(text, ' ')[1] || ',' || string_split(text, ' ')[2]
-      FROM benchmark)""",
+    f"""SELECT item_id, 'csv' AS form, array_to_string({ITEMS.format("string_split(text, ',')")}, '|') AS items FROM benchmark
+      UNION ALL SELECT item_id, 'json', array_to_string({ITEMS.format("string_split(text, ' ')[1:2]")}, '|') FROM benchmark""",
 )
 def clean_list(t: Tables) -> DataFrame:
     words = F.split("text", " ")
