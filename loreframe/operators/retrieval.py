@@ -268,7 +268,7 @@ def channel(hits: DataFrame, name: str, order: int) -> DataFrame:
     )
 
 
-def fuse(channels: list[DataFrame], k: int) -> DataFrame:
+def fuse(channels: list[DataFrame], k: int, keep_first_seen: bool = False) -> DataFrame:
     """Reciprocal rank fusion: one vote per (query, row, channel), best rank of the channel."""
     hits = channels[0]
     for other in channels[1:]:
@@ -298,11 +298,8 @@ def fuse(channels: list[DataFrame], k: int) -> DataFrame:
         F.asc("first_seen"),
         F.asc("id"),
     )
-    return (
-        fused.withColumn("rank", F.row_number().over(order).cast("long"))
-        .filter(F.col("rank") <= k)
-        .drop("first_seen")
-    )
+    ranked = fused.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return ranked if keep_first_seen else ranked.drop("first_seen")
 
 
 def rerank_merge(

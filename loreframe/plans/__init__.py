@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "traffic", "textual", "ingest_state"]
+MODULES = ["search", "traffic", "textual", "ingest_state", "graphs"]
 
 
 def load_all() -> None:
