@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "ingest"]
+MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "ingest", "quality"]
 
 
 def load_all() -> None:
