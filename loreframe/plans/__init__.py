@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "ingest", "quality"]
+MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "ingest", "quality", "streams"]
 
 
 def load_all() -> None:
