@@ -38,7 +38,8 @@ def compact(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return F.coalesce(strip(c), F.lit("")) == ""
+    """Null or white space only; stops at the first other character."""
+    return ~F.coalesce(c, F.lit("")).rlike(r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]")
 
 
 def none_if_blank(c: Column) -> Column:

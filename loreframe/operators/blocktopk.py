@@ -53,7 +53,9 @@ def _best(block: pd.DataFrame, scores: np.ndarray, query_ids: np.ndarray, k: int
 def _trim(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
     merged = pd.concat(frames, ignore_index=True)
     merged = merged.sort_values(["query_id", "score", "tie", "id"], ascending=[True, False, False, True])
-    return merged.groupby("query_id", sort=False).head(k)
+    best = merged.groupby("query_id", sort=False).head(k)
+    # concatenated string columns may be chunked; the Arrow writer wants one plain array
+    return best.assign(id=best["id"].astype(object)).reset_index(drop=True)
 
 
 def _score_rows(
@@ -67,8 +69,9 @@ def _score_rows(
             held.append(_best(block, scorer(block), query_ids, k))
         if len(held) > 16:
             held = [_trim(held, k)]
-    if held:
-        yield _trim(held, k)
+    best = _trim(held, k) if held else pd.DataFrame()
+    if len(best):
+        yield best
 
 
 def block_topk(
@@ -115,14 +118,9 @@ def _grid(queries, rows, make_scorer, k, per_block, schema):
     )
 
     def score_cell(query_block: pd.DataFrame, row_block: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "tie": [], "score": []})
         if query_block.empty or row_block.empty:
-            return empty
-        found = list(
-            _score_rows(
-                iter([row_block]), make_scorer(query_block), query_block["query_id"].to_numpy(), k
-            )
-        )
-        return found[0] if found else empty
+            return pd.DataFrame()
+        ids = query_block["query_id"].to_numpy()
+        return next(_score_rows(iter([row_block]), make_scorer(query_block), ids, k), pd.DataFrame())
 
     return q.groupBy("__b", "__s").cogroup(r.groupBy("__b", "__s")).applyInPandas(score_cell, schema)

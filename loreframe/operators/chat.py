@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from loreframe.functions import text as tx
 from loreframe.functions.constants import LOW_VALUE_CONTENTS, LOW_VALUE_SPEAKER
-from loreframe.scale import previous_value, running_sum
+from loreframe.scale import dense_position, previous_value, running_sum
 
 MINUTE = "yyyy-MM-dd HH:mm"
 
@@ -95,104 +96,98 @@ def capped_sessions(
     """Adds ``part`` inside each session: greedy size caps, exact and without one task per session.
 
     Where the next part starts depends only on where the current one started, and a part reaches at
-    most ``max_messages`` rows ahead. A session is cut into blocks; every block follows each of its
-    possible entry rows to its end (in parallel, a block sees the rows it may overrun), which gives
-    a small entry -> exit table per block. Chaining those tables per session finds the true entry of
-    every block, and each block then marks its own part starts.
+    most ``max_messages`` rows ahead. A session is cut into blocks. For sessions of several blocks
+    every block follows each of its possible entry rows to its end (in parallel, seeing the rows it
+    may overrun), which gives a short entry -> exit list per block; chaining those lists per session
+    finds the true entry of every block. Each block then marks its own part starts in one fold.
     """
-    from loreframe.scale import dense_position
-
     keyed = dense_position(sessions, ["channel", "session"], F.to_date("sent_at"), _order(), "n")
     keyed = keyed.withColumn("n", F.col("n") - 1).withColumn("blk", F.floor(F.col("n") / block))
     size = (F.length("content") + F.length("speaker") + 20).cast("long")
     rows = keyed.select("channel", "session", "blk", "n", size.alias("size"))
-    ahead = rows.filter((F.col("n") % block < max_messages) & (F.col("blk") > 0)).withColumn(
+    entries = _block_entries(rows, max_messages, max_chars, block)
+
+    first = F.coalesce("entry", F.lit(0)).cast("int")
+    start = F.struct(
+        F.lit(0).cast("long").alias("count"),
+        F.lit(0).cast("long").alias("total"),
+        F.array().cast("array<bigint>").alias("starts"),
+    )
+
+    def step(acc, x):
+        opens = (acc["count"] == 0) | (acc["count"] >= max_messages) | (acc["total"] + x["size"] > max_chars)
+        return F.when(
+            opens,
+            F.struct(
+                F.lit(1).cast("long").alias("count"), x["size"].alias("total"),
+                F.array_append(acc["starts"], x["n"]).alias("starts"),
+            ),
+        ).otherwise(
+            F.struct(
+                (acc["count"] + 1).alias("count"), (acc["total"] + x["size"]).alias("total"), acc["starts"].alias("starts")
+            )
+        )
+
+    blocks = rows.groupBy("channel", "session", "blk").agg(
+        F.sort_array(F.collect_list(F.struct("n", "size"))).alias("b")
+    )
+    starts = (
+        blocks.join(entries, ["channel", "session", "blk"], "left")
+        .select(
+            "channel", "session",
+            F.explode(F.aggregate(F.slice("b", first + 1, block), start, step, lambda acc: acc["starts"])).alias("n"),
+        )
+        .withColumn("starts", F.lit(1))
+    )
+    marked = keyed.drop("blk").join(starts, ["channel", "session", "n"], "left")
+    return running_sum(
+        marked, ["channel", "session"], F.floor(F.col("n") / block), [F.col("n")],
+        F.coalesce("starts", F.lit(0)), "part",
+    ).drop("starts", "n")
+
+
+def _block_entries(rows: DataFrame, max_messages: int, max_chars: int, block: int) -> DataFrame:
+    """(channel, session, blk, entry): first part start of each later block of long sessions."""
+    long_sessions = rows.filter(F.col("blk") > 0).select("channel", "session").distinct()
+    mine = rows.join(long_sessions, ["channel", "session"], "left_semi")
+    ahead = mine.filter((F.col("n") % block < max_messages) & (F.col("blk") > 0)).withColumn(
         "blk", F.col("blk") - 1
     )
-    extended = rows.unionByName(ahead)
-
-    def jumps(pdf: pd.DataFrame) -> tuple[int, list[int], list[int], int]:
-        pdf = pdf.sort_values("n")
-        first = int(pdf["n"].iloc[0])
-        own = min(block - first % block, len(pdf)) if len(pdf) else 0
-        sizes = pdf["size"].tolist()
-        ends, end, total = [], 0, 0
-        for start in range(own):
-            if end < start:
-                end, total = start, 0
-            while end < len(sizes) and end - start < max_messages and (
-                end == start or total + sizes[end] <= max_chars
-            ):
-                total += sizes[end]
-                end += 1
-            ends.append(end)
-            total -= sizes[start]
-        return first, sizes, ends, own
-
-    def entry_table(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        first, _, ends, own = jumps(pdf)
-        exits = list(range(own + max_messages))
+
+    def exits(key, pdf):
+        sizes = pdf.sort_values("n")["size"].to_numpy()
+        own = min(block, len(sizes))
+        used = np.concatenate([[0], np.cumsum(sizes)])
+        begin = np.arange(own)
+        by_chars = np.searchsorted(used, used[begin] + max_chars, side="right") - 1
+        end = np.minimum(np.maximum(by_chars, begin + 1), np.minimum(begin + max_messages, len(sizes)))
+        out = np.arange(own + max_messages)
         for i in range(own - 1, -1, -1):
-            exits[i] = ends[i] if ends[i] >= own else exits[ends[i]]
-        entries = min(max_messages, own)
+            out[i] = end[i] if end[i] >= own else out[end[i]]
         return pd.DataFrame(
             {
                 "channel": key[0], "session": key[1], "blk": key[2],
-                "exits": [[exits[i] - own for i in range(entries)]],
+                "exits": [(out[: min(max_messages, own)] - own).tolist()],
             }
         )
 
-    skey = sessions.schema["session"].dataType.simpleString()
-    ckey = sessions.schema["channel"].dataType.simpleString()
-    tables = extended.groupBy("channel", "session", "blk").applyInPandas(
-        entry_table, f"channel {ckey}, session {skey}, blk long, exits array<long>"
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("channel", "session")}
+    lists = mine.unionByName(ahead).groupBy("channel", "session", "blk").applyInPandas(
+        exits, f"channel {kinds['channel']}, session {kinds['session']}, blk long, exits array<long>"
     )
-    # entry of block b+1 = exits[entry of block b]; one short list per block, folded per session
-    ordered = tables.groupBy("channel", "session").agg(
+    ordered = lists.groupBy("channel", "session").agg(
         F.sort_array(F.collect_list(F.struct("blk", "exits"))).alias("t")
     )
-    chained = ordered.select(
-        "channel",
-        "session",
-        F.inline(
-            F.aggregate(
-                F.col("t"),
-                F.array(F.struct(F.lit(0).cast("long").alias("blk"), F.lit(0).cast("long").alias("entry"))),
-                lambda acc, x: F.array_append(
-                    acc,
-                    F.struct(
-                        (x["blk"] + 1).alias("blk"),
-                        F.coalesce(
-                            F.get(x["exits"], F.element_at(acc, -1)["entry"].cast("int")),
-                            F.lit(0).cast("long"),
-                        ).alias("entry"),
-                    ),
-                ),
-            )
+    zero = F.lit(0).cast("long")
+    chain = F.aggregate(
+        "t",
+        F.array(F.struct(zero.alias("blk"), zero.alias("entry"))),
+        lambda acc, x: F.array_append(
+            acc,
+            F.struct(
+                (x["blk"] + 1).alias("blk"),
+                F.coalesce(F.get(x["exits"], F.element_at(acc, -1)["entry"].cast("int")), zero).alias("entry"),
+            ),
         ),
     )
-
-    def mark(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = int(pdf["entry"].iloc[0])
-        first, _, ends, own = jumps(pdf)
-        at, starts = entry, []
-        while at < own:
-            starts.append(first + at)
-            at = ends[at]
-        return pd.DataFrame({"channel": key[0], "session": key[1], "n": starts})
-
-    starts = (
-        extended.join(chained, ["channel", "session", "blk"])
-        .groupBy("channel", "session", "blk")
-        .applyInPandas(mark, f"channel {ckey}, session {skey}, n long")
-        .withColumn("starts", F.lit(1))
-    )
-    marked = keyed.drop("blk").join(starts, ["channel", "session", "n"], "left")
-    return running_sum(
-        marked,
-        ["channel", "session"],
-        F.floor(F.col("n") / block),
-        [F.col("n")],
-        F.coalesce("starts", F.lit(0)),
-        "part",
-    ).drop("starts", "n")
+    return ordered.select("channel", "session", F.inline(chain))

@@ -73,20 +73,26 @@ def naive_groups(
     """
     threshold = max(chunk_tokens, 0) * (100 - min(max(overlap_percent, 0), 99)) / 100
     size = (tokens if tokens is not None else F.length(F.concat(F.lit("\n"), "text"))).cast("long")
-    sized = blocks.withColumn("__size", size)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        numbers, total, current = [], None, -1
-        for n in pdf["__size"]:
-            if total is None or total > threshold:
-                current, total = current + 1, 0
-            total += n
-            numbers.append(current)
-        return pdf.assign(chunk_no=numbers).drop(columns="__size")
-
-    schema = blocks.schema.simpleString()[len("struct<"):-1] + ",chunk_no:long"
-    return sized.groupBy("file_id").applyInPandas(fold, schema)
+    sizes = blocks.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", size.alias("size")))).alias("b"))
+    numbered = F.aggregate(
+        "b",
+        F.struct(
+            F.lit(-1).cast("long").alias("no"),
+            F.lit(None).cast("long").alias("total"),
+            F.array().cast("array<bigint>").alias("out"),
+        ),
+        lambda acc, x: F.when(
+            acc["total"].isNull() | (acc["total"] > threshold),
+            F.struct((acc["no"] + 1).alias("no"), x["size"].alias("total"), F.array_append(acc["out"], acc["no"] + 1).alias("out")),
+        ).otherwise(
+            F.struct(acc["no"].alias("no"), (acc["total"] + x["size"]).alias("total"), F.array_append(acc["out"], acc["no"]).alias("out"))
+        ),
+        lambda acc: acc["out"],
+    )
+    placed = sizes.select(
+        "file_id", F.explode(F.arrays_zip(F.transform("b", lambda x: x["pos"]).alias("pos"), numbered.alias("no"))).alias("p")
+    ).select("file_id", "p.pos", F.col("p.no").alias("chunk_no"))
+    return blocks.join(placed, ["file_id", "pos"])
 
 
 def naive_chunks(blocks: DataFrame, chunk_tokens: int = 512, overlap_percent: int = 0) -> DataFrame:

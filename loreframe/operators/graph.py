@@ -216,23 +216,40 @@ def subgraph(
     edges = edges.select("id", "head_entity_id", "tail_entity_id", "relation_type", "updated_at")
     edges = edges.join(head, "head_entity_id").join(tail, "tail_entity_id")
     sides = edges.select(
-        F.col("head_entity_id").alias("entity_id"), F.col("tail_entity_id").alias("next_id"), "id"
+        F.col("head_entity_id").alias("entity_id"), F.col("tail_entity_id").alias("next_id"),
+        "id", "updated_at", "head_type", "tail_type",
     ).unionByName(
-        edges.select(F.col("tail_entity_id").alias("entity_id"), F.col("head_entity_id").alias("next_id"), "id")
+        edges.select(
+            F.col("tail_entity_id").alias("entity_id"), F.col("head_entity_id").alias("next_id"),
+            "id", "updated_at", "head_type", "tail_type",
+        )
     )
     center = centers.select(F.col("id").alias("center_id")).join(
         usable.select(F.col("id").alias("center_id")), "center_id", "left_semi"
     )
     reached = center.select("center_id", F.col("center_id").alias("entity_id"))
     for _ in range(hops - 1):
-        step = reached.join(sides, "entity_id").select("center_id", F.col("next_id").alias("entity_id"))
+        step = reached.join(sides.select("entity_id", "next_id").distinct(), "entity_id").select(
+            "center_id", F.col("next_id").alias("entity_id")
+        )
         reached = reached.unionByName(step).distinct()
-    incident = reached.join(sides.select("entity_id", "id"), "entity_id").select("center_id", "id").distinct()
-    found = incident.join(edges, "id")
+    shown = sides
     if entity_types:
-        found = found.filter(F.col("head_type").isin(entity_types) | F.col("tail_type").isin(entity_types))
-    newest = W.partitionBy("center_id").orderBy(F.desc("updated_at"), F.asc("id"))
-    top = found.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") <= limit).drop("rn")
+        shown = shown.filter(F.col("head_type").isin(entity_types) | F.col("tail_type").isin(entity_types))
+    # An edge's place does not depend on the centre, so each entity needs only its own best edges,
+    # and equal edges reached twice share one dense rank: both limits cut before the shuffle.
+    newest = [F.desc("updated_at"), F.asc("id")]
+    own = shown.withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy(*newest))).filter(
+        F.col("rn") <= limit
+    ).select("entity_id", "id", "updated_at")
+    ranked = reached.join(own, "entity_id").select("center_id", "id", "updated_at")
+    top = (
+        ranked.withColumn("rn", F.dense_rank().over(W.partitionBy("center_id").orderBy(*newest)))
+        .filter(F.col("rn") <= limit)
+        .select("center_id", "id")
+        .distinct()
+        .join(edges, "id")
+    )
     counts = evidence_counts(
         live.join(top.select(F.col("id").alias("relation_id")).distinct(), "relation_id", "left_semi"), "relation_id"
     )

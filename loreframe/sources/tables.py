@@ -29,15 +29,36 @@ def strings(*values) -> Column:
     return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]).cast("array<string>")
 
 
+# Tables whose rows are expensive to process (long texts, vectors).
+TEXT_TABLES = ("documents", "pages", "embeddings")
+SMALL_INPUT_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input too small to be split; a large input keeps its own splits.
+
+    A parquet file is only split at row groups, so a small table is one task whatever the split
+    size. Columns are still pruned below the exchange.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Tables:
     """Raw and canonical tables of one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._raw[name] = spread(df) if name in TEXT_TABLES else df
+        return self._raw[name]
 
     # --- traffic -------------------------------------------------------------------------------
 
