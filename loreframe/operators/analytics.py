@@ -128,6 +128,7 @@ def zero_hit_clusters(
     The model is fitted on distinct query texts weighted into the cluster sizes afterwards, so a
     query asked a billion times is one training row.
     """
+    from loreframe.operators.retrieval import ngrams
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -138,11 +139,7 @@ def zero_hit_clusters(
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("length(query) >= 3")
     )
-    chars = F.split("query", "")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.length("query") - 3),
-        lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-    )
+    grams = ngrams(F.col("query"), 3)
     rows = distinct.withColumn("grams", grams)
     model = Pipeline(
         stages=[

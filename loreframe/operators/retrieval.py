@@ -29,14 +29,7 @@ def alias_matches(queries: DataFrame, aliases: DataFrame) -> DataFrame:
         "alias_id", F.posexplode(F.concat(F.array("canonical"), "aliases")).alias("pos", "name")
     ).filter("name <> ''").withColumn("anchor", F.substring("name", 1, 3))
     text = tx.compact(F.col("query"))
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))),
-                lambda i: F.array(*[F.substring(F.col("text"), i, F.lit(n)) for n in (1, 2, 3)]),
-            )
-        )
-    )
+    grams = F.array_distinct(F.concat(*[ngrams(F.col("text"), n) for n in (1, 2, 3)]))
     keyed = queries.select("query_id", text.alias("text")).select(
         "query_id", "text", F.explode(grams).alias("anchor")
     )
@@ -218,15 +211,18 @@ def keyword_topk_indexed(terms: DataFrame, live: DataFrame, k: int) -> DataFrame
     return indexed.unionByName(keyword_topk(scan, live, k))
 
 
+def ngrams(c, n: int):
+    """Every run of ``n`` characters, by one overlapping pattern pass.
+
+    Nothing is indexed inside a lambda: the optimizer may inline a column there and evaluate it once
+    per element.
+    """
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=({'.' * n}))"), 1)
+
+
 def trigrams(c):
-    """Distinct character trigrams; indexed characters keep this linear in the text."""
-    chars = F.split(c, "")
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.length(c) - 3),
-            lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-        )
-    )
+    """Distinct character trigrams."""
+    return F.array_distinct(ngrams(c, 3))
 
 
 def vector_topk_lsh(
