@@ -10,12 +10,12 @@ pass over its partitions.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -23,11 +23,8 @@ from loreframe.llm.tables import written
 from loreframe.llm.wordarrays import slices
 
 CACHED_WORDS = 800_000  # words remembered per task; a full memory is emptied and filled anew
-
-# str.split() also splits here, the tokenizer does not
-_CONTROLS = re.compile("[\x1c-\x1f]")
-_TAILS = ".,;:!?"  # signs that often follow a word and never join another token
-_SPACES = re.compile("[ \t\n\r\x0b\x0c]+")
+# a run of these after letters is a token run of its own (an apostrophe may join letters)
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _plain(word: str) -> bool:
@@ -35,7 +32,7 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
-def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+def word_ids(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
     """Token ids of texts under a tokenizer that drops white space between its words.
 
     White space always ends a token there, so a text's ids are those of its words one after another, and
@@ -72,40 +69,58 @@ def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
             raw = ids.tobytes()
             stems.update(zip(part, [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts)]))
 
-    tails = {t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, wide).tobytes() for t in _TAILS}
+    tails: dict[str, bytes] = {"": b""}
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [_SPACES.split(t) if _CONTROLS.search(t) else t.split() for t in texts]
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            stems.clear()
-            new = set().union(*split)
+    def learn(words: list[str]) -> None:
         made, other = [], []
-        for word in new:
-            if word[-1:] in tails and _plain(word[:-1]):
-                made.append((word, word[:-1].lower(), tails[word[-1]]))
-            elif _plain(word):
-                made.append((word, word.lower(), b""))
+        for word in words:
+            stem = word.rstrip(_SIGNS)
+            if _plain(stem):
+                made.append(word)
             else:
                 other.append(word)
         encode_one(other)
-        encode_stems(list({stem for _, stem, _ in made} - stems.keys()))
-        for word, stem, tail in made:
-            known[word] = stems[stem] + tail
-        return [np.frombuffer(b"".join([known[w] for w in words]), wide) for words in split]
+        lower = [w.rstrip(_SIGNS).lower() for w in made]
+        encode_stems(list(set(lower) - stems.keys()))
+        for word, stem in zip(made, lower):
+            tail = word[len(stem) :]
+            if tail not in tails:
+                tails[tail] = np.array(tokenizer.encode(tail, add_special_tokens=False).ids, wide).tobytes()
+            known[word] = stems[stem] + tails[tail]
+
+    def encode(texts: list[str] | pa.Array) -> list[np.ndarray]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            stems.clear()
+            tails.clear()
+            tails[""] = b""
+            new = words
+        learn(new)
+        raw = [known[w] for w in words]
+        ids = np.frombuffer(b"".join(raw), wide)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // wide.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # every word's ids one after another: its place in ``ids`` less its place in the text, plus a count
+        per = sizes[index]
+        ends = np.cumsum(per)
+        flat = ids[np.repeat(starts[index] - (ends - per), per) + np.arange(int(per.sum()))]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
 
     return encode
 
 
-def _tokenize(encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], end_id: int, carried: list[str]):
+def _tokenize(encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end_id: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = [np.append(x, np.array(end_id, x.dtype)).astype("<u4") for x in encode(texts)]
-                narrow = [x.astype("<u2") if not len(x) or x.max() < 1 << 16 else x for x in ids]
+            for batch in slices(whole, "text", 1 << 23):
+                ids = [np.append(x, np.array(end_id, x.dtype)) for x in encode(batch.column("text"))]
                 counts = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.concatenate([[0], counts.cumsum()])[:-1]
                 before += int(counts.sum())
@@ -115,7 +130,7 @@ def _tokenize(encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], en
                         pa.array(np.full(len(ids), part, np.int64)),
                         pa.array(starts),
                         pa.array(counts),
-                        pa.array([x.tobytes() for x in narrow], pa.binary()),
+                        pa.array([x.tobytes() for x in ids], pa.binary()),
                     ],
                     names=[*carried, "__part", "__before", "doc_tokens", "__ids"],
                 )
@@ -161,7 +176,7 @@ def _cut(window: int, carried: list[str], with_ids: bool):
 
 def pack(
     docs: DataFrame,
-    encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]],
+    encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]],
     end_id: int,
     window: int = 2048,
     with_ids: bool = False,
