@@ -137,9 +137,10 @@ def zero_hit_clusters(
         events.filter((F.col("hit_count") == 0) & (F.col("created_at") >= since))
         .groupBy(query_key(F.col("query")).alias("query"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter("length(query) >= 3")
+        .filter("query <> ''")
     )
-    grams = ngrams(F.col("query"), 3)
+    # a blank on each side, so that a query of one character has a trigram as well
+    grams = ngrams(F.concat(F.lit(" "), "query", F.lit(" ")), 3)
     rows = distinct.withColumn("grams", grams)
     model = Pipeline(
         stages=[

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from loreframe.functions import text as tx
 from loreframe.functions.constants import LOW_VALUE_CONTENTS, LOW_VALUE_SPEAKER
 from loreframe.scale import dense_position, previous_value, running_sum
+from loreframe.session import cut_lineage
 
 MINUTE = "yyyy-MM-dd HH:mm"
 
@@ -55,7 +56,7 @@ def day_sessions(messages: DataFrame, days: int = 1) -> DataFrame:
         return kept.withColumnRenamed("day", "session")
     starts = kept.groupBy("channel").agg(F.sort_array(F.collect_set("day")).alias("seen"))
     fold = F.aggregate(
-        F.slice("seen", 2, 1_000_000),
+        F.slice("seen", F.lit(2), F.size("seen")),
         F.array(F.struct(F.get("seen", F.lit(0)).alias("day"), F.get("seen", F.lit(0)).alias("session"))),
         lambda acc, d: F.array_append(
             acc,
@@ -90,104 +91,135 @@ def build_chunks(sessions: DataFrame, keys: list[str]) -> DataFrame:
     return built.withColumn("keywords", tx.chat_keywords(F.col("text")))
 
 
+def chunk_parts(
+    messages: DataFrame,
+    gap_minutes: int | None = None,
+    days: int = 1,
+    max_messages: int = 120,
+    max_chars: int = 8000,
+    block: int = 1024,
+) -> DataFrame:
+    """Adds ``part``, the number of a message's chunk in its channel.
+
+    A chunk ends at a silence longer than ``gap_minutes`` or, without that, once ``days`` days have
+    passed since its own first message; and in either case at the size caps. A chunk that a cap
+    opened starts a day window of its own.
+    """
+    if gap_minutes is not None:
+        marked, reach = gap_sessions(messages, gap_minutes).withColumnRenamed("session", "mark"), 1
+    else:
+        marked = drop_low_value(messages).withColumn("mark", F.unix_date(F.to_date("sent_at")).cast("long"))
+        reach = min(max(int(days), 1), 7)
+    return _parts(marked, ["channel"], reach, max_messages, max_chars, block).drop("mark")
+
+
 def capped_sessions(
     sessions: DataFrame, max_messages: int = 120, max_chars: int = 8000, block: int = 1024
 ) -> DataFrame:
-    """Adds ``part`` inside each session: greedy size caps, exact and without one task per session.
+    """Adds ``part`` inside each given session: greedy size caps."""
+    marked = sessions.withColumn("mark", F.lit(0).cast("long"))
+    return _parts(marked, ["channel", "session"], 1, max_messages, max_chars, block).drop("mark")
+
+
+def _part_ends(size: np.ndarray, mark: np.ndarray, reach: int, max_messages: int, max_chars: int) -> np.ndarray:
+    """Where a part that starts at each row ends: within reach of its first mark, and of the caps."""
+    used = np.concatenate([[0], np.cumsum(size)])
+    begin = np.arange(len(size))
+    by_chars = np.maximum(np.searchsorted(used, used[begin] + max_chars, side="right") - 1, begin + 1)
+    by_mark = np.searchsorted(mark, mark + reach, side="left")
+    return np.minimum(np.minimum(by_chars, by_mark), np.minimum(begin + max_messages, len(size)))
+
+
+def _parts(
+    marked: DataFrame, keys: list[str], reach: int, max_messages: int, max_chars: int, block: int
+) -> DataFrame:
+    """Greedy parts per key, exact and without one task per key.
 
     Where the next part starts depends only on where the current one started, and a part reaches at
-    most ``max_messages`` rows ahead. A session is cut into blocks. For sessions of several blocks
-    every block follows each of its possible entry rows to its end (in parallel, seeing the rows it
-    may overrun), which gives a short entry -> exit list per block; chaining those lists per session
-    finds the true entry of every block. Each block then marks its own part starts in one fold.
+    most ``max_messages`` rows ahead. A key's rows are cut into blocks at least that long. Every block
+    follows each of its possible entry rows to its end (in parallel, seeing the rows it may overrun),
+    which gives a short entry -> exit list per block; these lists are chained in groups, groups of
+    groups and so on, to the true entry of every block. Each block then marks its own part starts.
     """
-    keyed = dense_position(sessions, ["channel", "session"], F.to_date("sent_at"), _order(), "n")
+    block = max(block, max_messages)
+    keyed = dense_position(marked, keys, F.to_date("sent_at"), _order(), "n")
     keyed = keyed.withColumn("n", F.col("n") - 1).withColumn("blk", F.floor(F.col("n") / block))
     size = (F.length("content") + F.length("speaker") + 20).cast("long")
-    rows = keyed.select("channel", "session", "blk", "n", size.alias("size"))
-    entries = _block_entries(rows, max_messages, max_chars, block)
-
-    first = F.coalesce("entry", F.lit(0)).cast("int")
-    start = F.struct(
-        F.lit(0).cast("long").alias("count"),
-        F.lit(0).cast("long").alias("total"),
-        F.array().cast("array<bigint>").alias("starts"),
-    )
-
-    def step(acc, x):
-        opens = (acc["count"] == 0) | (acc["count"] >= max_messages) | (acc["total"] + x["size"] > max_chars)
-        return F.when(
-            opens,
-            F.struct(
-                F.lit(1).cast("long").alias("count"), x["size"].alias("total"),
-                F.array_append(acc["starts"], x["n"]).alias("starts"),
-            ),
-        ).otherwise(
-            F.struct(
-                (acc["count"] + 1).alias("count"), (acc["total"] + x["size"]).alias("total"), acc["starts"].alias("starts")
-            )
-        )
-
-    blocks = rows.groupBy("channel", "session", "blk").agg(
-        F.sort_array(F.collect_list(F.struct("n", "size"))).alias("b")
-    )
-    starts = (
-        blocks.join(entries, ["channel", "session", "blk"], "left")
-        .select(
-            "channel", "session",
-            F.explode(F.aggregate(F.slice("b", first + 1, block), start, step, lambda acc: acc["starts"])).alias("n"),
-        )
-        .withColumn("starts", F.lit(1))
-    )
-    marked = keyed.drop("blk").join(starts, ["channel", "session", "n"], "left")
+    rows = keyed.select(*keys, "blk", "n", size.alias("size"), "mark")
+    entries = _block_entries(rows, keys, reach, max_messages, max_chars, block)
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def starts_of(key, pdf):
+        pdf = pdf.sort_values("n")
+        end = _part_ends(pdf["size"].to_numpy(), pdf["mark"].to_numpy(), reach, max_messages, max_chars)
+        at, n, found = int(pdf["entry"].iloc[0]), pdf["n"].to_numpy(), []
+        while at < len(n):
+            found.append(n[at])
+            at = end[at]
+        return pd.DataFrame({**dict(zip(keys, key)), "n": found, "starts": 1})
+
+    entered = rows.join(entries, [*keys, "blk"], "left").fillna(0, ["entry"])
+    starts = entered.groupBy(*keys, "blk").applyInPandas(starts_of, f"{kinds}, n long, starts int")
+    placed = keyed.drop("blk").join(starts, [*keys, "n"], "left")
     return running_sum(
-        marked, ["channel", "session"], F.floor(F.col("n") / block), [F.col("n")],
-        F.coalesce("starts", F.lit(0)), "part",
+        placed, keys, F.floor(F.col("n") / block), [F.col("n")], F.coalesce("starts", F.lit(0)), "part"
     ).drop("starts", "n")
 
 
-def _block_entries(rows: DataFrame, max_messages: int, max_chars: int, block: int) -> DataFrame:
-    """(channel, session, blk, entry): first part start of each later block of long sessions."""
-    long_sessions = rows.filter(F.col("blk") > 0).select("channel", "session").distinct()
-    mine = rows.join(long_sessions, ["channel", "session"], "left_semi")
+def _block_entries(
+    rows: DataFrame, keys: list[str], reach: int, max_messages: int, max_chars: int, block: int
+) -> DataFrame:
+    """(keys, blk, entry): first part start of each later block of keys with several blocks."""
+    long_keys = rows.filter(F.col("blk") > 0).select(*keys).distinct()
+    mine = rows.join(long_keys, keys, "left_semi")
     ahead = mine.filter((F.col("n") % block < max_messages) & (F.col("blk") > 0)).withColumn(
         "blk", F.col("blk") - 1
     )
 
     def exits(key, pdf):
-        sizes = pdf.sort_values("n")["size"].to_numpy()
-        own = min(block, len(sizes))
-        used = np.concatenate([[0], np.cumsum(sizes)])
-        begin = np.arange(own)
-        by_chars = np.searchsorted(used, used[begin] + max_chars, side="right") - 1
-        end = np.minimum(np.maximum(by_chars, begin + 1), np.minimum(begin + max_messages, len(sizes)))
+        pdf = pdf.sort_values("n")
+        end = _part_ends(pdf["size"].to_numpy(), pdf["mark"].to_numpy(), reach, max_messages, max_chars)
+        own = min(block, len(end))
         out = np.arange(own + max_messages)
         for i in range(own - 1, -1, -1):
             out[i] = end[i] if end[i] >= own else out[end[i]]
         return pd.DataFrame(
-            {
-                "channel": key[0], "session": key[1], "blk": key[2],
-                "exits": [(out[: min(max_messages, own)] - own).tolist()],
-            }
+            {**dict(zip(keys, key[:-1])), "blk": key[-1], "exits": [(out[: min(max_messages, own)] - own).tolist()]}
         )
 
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("channel", "session")}
-    lists = mine.unionByName(ahead).groupBy("channel", "session", "blk").applyInPandas(
-        exits, f"channel {kinds['channel']}, session {kinds['session']}, blk long, exits array<long>"
-    )
-    ordered = lists.groupBy("channel", "session").agg(
-        F.sort_array(F.collect_list(F.struct("blk", "exits"))).alias("t")
-    )
-    zero = F.lit(0).cast("long")
-    chain = F.aggregate(
-        "t",
-        F.array(F.struct(zero.alias("blk"), zero.alias("entry"))),
-        lambda acc, x: F.array_append(
-            acc,
-            F.struct(
-                (x["blk"] + 1).alias("blk"),
-                F.coalesce(F.get(x["exits"], F.element_at(acc, -1)["entry"].cast("int")), zero).alias("entry"),
-            ),
-        ),
-    )
-    return ordered.select("channel", "session", F.inline(chain))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    lists = mine.unionByName(ahead).groupBy(*keys, "blk").applyInPandas(exits, f"{kinds}, blk long, exits array<long>")
+    return _chain(cut_lineage(lists), keys, kinds)
+
+
+def _follow(exits: list, entry: int) -> tuple[list[int], int]:
+    """Entry of each block of a run, and the exit of the last one."""
+    found = []
+    for jump in exits:
+        found.append(entry)
+        entry = int(jump[entry]) if entry < len(jump) else 0
+    return found, entry
+
+
+def _chain(lists: DataFrame, keys: list[str], kinds: str, fan: int = 512) -> DataFrame:
+    """(keys, blk, entry) from each block's entry -> exit list, by runs of ``fan`` blocks."""
+    last = lists.agg(F.max("blk")).first()[0] or 0
+    runs = lists.withColumn("run", F.floor(F.col("blk") / fan))
+    entries = lists.sparkSession.createDataFrame([], f"{kinds}, run long, entry long")
+    if last >= fan:
+
+        def composed(key, pdf):
+            ordered = pdf.sort_values("blk")["exits"].tolist()
+            jumps = [_follow(ordered, e)[1] for e in range(len(ordered[0]))]
+            return pd.DataFrame({**dict(zip(keys, key[:-1])), "blk": key[-1], "exits": [jumps]})
+
+        joined = runs.groupBy(*keys, "run").applyInPandas(composed, f"{kinds}, blk long, exits array<long>")
+        entries = _chain(cut_lineage(joined), keys, kinds, fan).withColumnRenamed("blk", "run")
+
+    def entered(key, pdf):
+        pdf = pdf.sort_values("blk")
+        found, _ = _follow(pdf["exits"].tolist(), int(pdf["entry"].iloc[0]))
+        return pd.DataFrame({**dict(zip(keys, key[:-1])), "blk": pdf["blk"].to_numpy(), "entry": found})
+
+    begun = runs.join(entries, [*keys, "run"], "left").fillna(0, ["entry"])
+    return begun.groupBy(*keys, "run").applyInPandas(entered, f"{kinds}, blk long, entry long")

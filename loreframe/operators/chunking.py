@@ -250,23 +250,25 @@ def chunk_pipeline(blocks: DataFrame, chunkers: DataFrame) -> DataFrame:
     def only(name):
         return routed.filter(F.col("chunker") == name).drop("chunker")
 
-    def shape(df, name, number, chunk_type):
+    def shape(df, name, number, chunk_type, row=None):
+        row = F.lit(0) if row is None else row
         return df.select(
-            "file_id", F.lit(name).alias("chunker"), number.cast("long").alias("chunk_no"), "text", chunk_type.alias("block_type")
+            "file_id", F.lit(name).alias("chunker"), number.cast("long").alias("chunk_no"), row.cast("long").alias("row_no"),
+            "text", chunk_type.alias("block_type"),
         )
 
     naive = shape(naive_chunks(only("naive")), "naive", F.col("chunk_no"), F.col("block_type"))
     manual = shape(manual_chunks(only("manual")), "manual", F.col("chunk_no"), F.col("block_type"))
     qa = shape(qa_chunks(only("qa")), "qa", F.col("chunk_no"), F.lit("qa"))
     table = shape(
-        table_chunks(only("table")), "table", F.col("pos") * 1_000_000 + F.col("row_index"), F.lit("table_row")
+        table_chunks(only("table")), "table", F.col("pos"), F.lit("table_row"), F.col("row_index")
     )
     bad = (
         routed.filter(~F.col("chunker").isin(CHUNKER_TYPES))
         .select("file_id", F.lit("unsupported").alias("chunker"))
         .distinct()
         .select(
-            "file_id", "chunker", F.lit(-1).cast("long").alias("chunk_no"),
+            "file_id", "chunker", F.lit(-1).cast("long").alias("chunk_no"), F.lit(0).cast("long").alias("row_no"),
             F.lit("").alias("text"), F.lit("error").alias("block_type"),
         )
     )

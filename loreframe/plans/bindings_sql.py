@@ -228,9 +228,10 @@ def compose(body: str) -> str:
     """Full oracle SQL: the bindings a body needs, then the body (which may begin with WITH)."""
     body = body.strip()
     names = [n for n in _needed(body)]
-    own = re.match(r"(?is)^with\s+", body)
+    own = re.match(r"(?is)^with\s+(recursive\s+)?", body)
     parts = [f"{n} AS ({BINDINGS[n]})" for n in names]
     if own:
         rest = body[own.end():]
-        return "WITH " + ",\n".join([*parts, rest]) if parts else body
+        start = "WITH RECURSIVE " if own[1] else "WITH "
+        return start + ",\n".join([*parts, rest]) if parts else body
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body

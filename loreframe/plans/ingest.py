@@ -328,31 +328,35 @@ def shown(chunks: DataFrame) -> DataFrame:
     )
 
 
-@query(
-    "chat_chunks_gap",
-    f"""WITH m AS ({KEPT}), g AS (SELECT *, CASE WHEN sent_at - lag(sent_at) OVER (PARTITION BY channel ORDER BY sent_at, pos) <= INTERVAL 600 MINUTE THEN 0 ELSE 1 END AS n FROM m),
-    s AS (SELECT *, sum(n) OVER (PARTITION BY channel ORDER BY sent_at, pos) AS session FROM g)
-    SELECT channel, CAST(session AS BIGINT) AS session, {CHAT_AGG}, CASE WHEN max(speaker = 'error') THEN '退款|报告' ELSE '' END AS keywords FROM s GROUP BY channel, session""",
-)
+def chat_sql(joins: str, max_messages: int, max_chars: int) -> str:
+    """Chunks of a channel, folded message by message; ``joins`` says when m may follow in f's chunk."""
+    return f"""WITH RECURSIVE k AS ({KEPT}),
+    m AS (SELECT *, row_number() OVER w AS n, length(content) + length(speaker) + 20 AS size, CAST(sent_at AS DATE) AS day,
+                 lag(sent_at) OVER w AS prev FROM k WINDOW w AS (PARTITION BY channel ORDER BY sent_at, pos)),
+    f AS (SELECT channel, n, day AS first_day, 1 AS messages, size AS total, 1 AS part FROM m WHERE n = 1
+      UNION ALL SELECT channel, n, CASE WHEN opens THEN day ELSE first_day END, CASE WHEN opens THEN 1 ELSE messages + 1 END,
+        CASE WHEN opens THEN size ELSE total + size END, part + CAST(opens AS INTEGER)
+      FROM (SELECT m.channel, m.n, m.day, m.size, f.first_day, f.messages, f.total, f.part,
+              NOT ({joins}) OR f.messages >= {max_messages} OR f.total + m.size > {max_chars} AS opens
+            FROM f JOIN m ON m.channel = f.channel AND m.n = f.n + 1))
+    SELECT channel, CAST(part AS BIGINT) AS part, {CHAT_AGG}, CASE WHEN max(speaker = 'error') THEN '退款|报告' ELSE '' END AS keywords
+    FROM m JOIN f USING (channel, n) GROUP BY channel, part"""
+
+
+@query("chat_chunks_gap", chat_sql("m.sent_at - m.prev <= INTERVAL 600 MINUTE", 120, 8000))
 def chat_chunks_gap(t: Tables) -> DataFrame:
-    return shown(chat.build_chunks(chat.gap_sessions(t.chat_messages, gap_minutes=600), ["channel", "session"]))
+    return shown(chat.build_chunks(chat.chunk_parts(t.chat_messages, gap_minutes=600), ["channel", "part"]))
 
 
-@query(
-    "chat_chunks_day",
-    f"""WITH m AS ({KEPT}) SELECT channel, strftime(sent_at, '%Y-%m-%d') AS session, {CHAT_AGG},
-      CASE WHEN max(speaker = 'error') THEN '退款|报告' ELSE '' END AS keywords FROM m GROUP BY ALL""",
-)
+@query("chat_chunks_day", chat_sql("m.day - f.first_day < 1", 120, 8000))
 def chat_chunks_day(t: Tables) -> DataFrame:
-    chunks = chat.build_chunks(chat.day_sessions(t.chat_messages, 1), ["channel", "session"])
-    return shown(chunks).withColumn("session", F.date_format("session", "yyyy-MM-dd"))
+    return shown(chat.build_chunks(chat.chunk_parts(t.chat_messages, days=1), ["channel", "part"]))
 
 
-@query("chat_chunks_capped")
+@query("chat_chunks_capped", chat_sql("m.day - f.first_day < 7", 12, 400))
 def chat_chunks_capped(t: Tables) -> DataFrame:
-    sessions = chat.day_sessions(t.chat_messages, 7)
-    parts = chat.capped_sessions(sessions, max_messages=12, max_chars=400)
-    return shown(chat.build_chunks(parts, ["channel", "session", "part"]))
+    parts = chat.chunk_parts(t.chat_messages, days=7, max_messages=12, max_chars=400)
+    return shown(chat.build_chunks(parts, ["channel", "part"]))
 
 
 # --- FAQ files ------------------------------------------------------------------------------------

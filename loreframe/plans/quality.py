@@ -469,8 +469,12 @@ def parse_clusters(t: Tables) -> DataFrame:
 
 
 def kg_responses(t: Tables) -> DataFrame:
-    """Extraction answers per document; some with an extra field, a bad type or a moved excerpt."""
-    e = t.map_entities.filter("pos < 6")
+    """Extraction answers per document: all its entities, each related to the next one.
+
+    Some have an extra field, a bad type or a moved excerpt; in some the last entity is named only as the
+    end of a relation.
+    """
+    e = t.map_entities
     n = F.col("chunk_order")
     entity = F.struct(
         "name",
@@ -479,8 +483,24 @@ def kg_responses(t: Tables) -> DataFrame:
         F.array(F.struct(F.when(n % 29 == 3, F.lit("not in the text #")).otherwise(F.col("excerpt")).alias("excerpt"))).alias("evidence"),
     )
     rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", entity.alias("e")))), lambda x: x["e"])
-    per = e.groupBy("job_id", "chunk_order").agg(rows.alias("entities"))
-    body = F.to_json(F.struct("entities", F.array().cast("array<string>").alias("relations"), F.when(n % 31 == 7, F.lit(1)).alias("note")))
+    per = e.groupBy("job_id", "chunk_order").agg(rows.alias("all"))
+    kinds = F.array(F.lit("belongs_to"), F.lit("requires"), F.lit("causes"))
+    related = F.zip_with(
+        F.slice("all", F.lit(1), F.size("all") - 1),
+        F.filter("all", lambda _, i: i > 0),
+        lambda a, b: F.struct(
+            a["name"].alias("head"), a["entity_type"].alias("head_type"),
+            F.get(kinds, (F.length(b["name"]) % 3).cast("int")).alias("relation_type"),
+            b["name"].alias("tail"), b["entity_type"].alias("tail_type"),
+            F.concat(a["name"], F.lit(" - "), b["name"]).alias("description"), a["confidence"].alias("confidence"),
+            F.array(F.struct(b["name"].alias("excerpt"))).alias("evidence"),
+        ),
+    )
+    ended = (n % 4 == 1) & (F.size("all") > 1)
+    per = per.withColumn("relations", F.when(F.size("all") > 1, related).otherwise(F.slice(related, 1, 0))).withColumn(
+        "entities", F.when(ended, F.slice("all", F.lit(1), F.size("all") - 1)).otherwise(F.col("all"))
+    )
+    body = F.to_json(F.struct("entities", "relations", F.when(n % 31 == 7, F.lit(1)).alias("note")))
     docs = t.raw("documents").select(F.col("doc_id").alias("chunk_order"), F.col("text").alias("source_text"))
     return per.select("job_id", "chunk_order", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("answer")).join(docs, "chunk_order")
 

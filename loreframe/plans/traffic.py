@@ -123,9 +123,19 @@ def zero_hit_clusters(t: Tables) -> DataFrame:
     return an.zero_hit_clusters(t.query_events, since(7))
 
 
+@query(
+    "zero_hit_cluster_total",
+    f"""SELECT CAST(count(*) AS BIGINT) AS event_count FROM query_events
+    WHERE hit_count = 0 AND trim(query) <> '' AND {SINCE_SQL.format(7)}""",
+)
+def zero_hit_cluster_total(t: Tables) -> DataFrame:
+    """Events of all clusters together: every zero-hit event of the window is in one."""
+    return an.zero_hit_clusters(t.query_events, since(7)).agg(F.sum("event_count").alias("event_count"))
+
+
 @query("cluster_summaries")
 def cluster_summaries(t: Tables) -> DataFrame:
-    """Newest stored cluster summaries; here one per day of zero-hit traffic."""
+    """Newest stored cluster summaries; here one clustering of 30 days of zero-hit traffic."""
     found = an.zero_hit_clusters(t.query_events, since(30))
     stored = found.withColumn("period_end", now()).withColumn("period_start", since(30))
     return stored.orderBy(F.desc("period_end"), F.desc("event_count"), F.asc("cluster_label")).limit(20)

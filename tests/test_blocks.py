@@ -183,8 +183,8 @@ def test_day_fold_is_relative_to_the_first_message(spark):
 def test_caps_equal_a_plain_fold(spark):
     rows, df = messages(spark, 700)
     sessions = df.withColumn("session", F.lit(0))
-    for cap, chars, block in ((7, 300, 16), (5, 10_000, 8), (1000, 400, 1024)):
-        got = {r.pos: r.part for r in chat.capped_sessions(sessions, cap, chars, block).collect()} if block >= 8 and cap <= block or block == 1024 else None
+    for cap, chars, block in ((7, 300, 16), (5, 10_000, 8), (1000, 400, 1024), (50, 10_000, 16)):
+        got = {r.pos: r.part for r in chat.capped_sessions(sessions, cap, chars, block).collect()}
         state, want = {}, {}
         for c, pos, _, speaker, content in rows:
             n, total, part = state.get(c, (0, 0, 0))
@@ -194,3 +194,20 @@ def test_caps_equal_a_plain_fold(spark):
             state[c] = (n + 1, total + size, part)
             want[pos] = part
         assert got == want
+
+
+def test_chunks_restart_their_window_at_a_cap(spark, monkeypatch):
+    rows, df = messages(spark, 500)
+    monkeypatch.setattr(chat._chain, "__defaults__", (3,))  # several levels of runs
+    for gap, days, cap, chars, block in ((None, 7, 12, 400, 16), (None, 3, 40, 2000, 8), (30, 1, 6, 10_000, 4), (30, 1, 120, 8000, 1024)):
+        got = {r.pos: r.part for r in chat.chunk_parts(df, gap, days, cap, chars, block).collect()}
+        state, want = {}, {}
+        for c, pos, at, speaker, content in rows:
+            n, total, part, first, last = state.get(c, (0, 0, 0, None, None))
+            size = len(speaker) + len(content) + 20
+            apart = n and (at - last > timedelta(minutes=gap) if gap else (at.date() - first).days >= days)
+            if n == 0 or n >= cap or total + size > chars or apart:
+                n, total, part, first = 0, 0, part + 1, at.date()
+            state[c] = (n + 1, total + size, part, first, at)
+            want[pos] = part
+        assert got == want

@@ -126,8 +126,14 @@ def test_near_duplicates_equal_brute_force(spark):
     exact = {x.id: (x.score, x.target_id) for x in dd.near_matches(c, r, exact_pairs=True).collect()}
     assert exact == want
     indexed = {x.id: (x.score, x.target_id) for x in dd.near_matches(c, r).collect()}
-    found = [k for k, v in want.items() if v[1]]
-    assert sum(indexed[k] == want[k] for k in found) / len(found) >= 0.95
+    assert indexed == want
+
+
+def test_short_texts_match(spark):
+    cols = "id string, chunk_id string, question string, answer string"
+    c = spark.createDataFrame([("c", "k", "a", "")], cols)
+    r = spark.createDataFrame([("r", None, "a", "b")], cols)
+    assert [(x.level, x.score, x.target_id) for x in dd.near_matches(c, r).collect()] == [("low", 0.8, "r")]
 
 
 def test_exact_match_ignores_the_own_chunk(spark):
@@ -144,6 +150,9 @@ def test_components_and_shingles(spark):
     body = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(1, body), (2, body + " extra"), (3, "other words here " * 9)], "id long, body string")
     assert [(r.id, r.anchor) for r in dd.shingle_pairs(docs).collect()] == [(2, 1)]
+    # one band for all: the smallest id is alike to none of the others
+    docs = spark.createDataFrame([(0, "w1 w2 w3"), (1, body), (2, body + " extra")], "id long, body string")
+    assert (2, 1) in {(r.id, r.anchor) for r in dd.shingle_pairs(docs).collect()}
 
 
 def test_metrics_keep_unlabelled_cases(spark):
