@@ -308,14 +308,17 @@ def section_stack(blocks: DataFrame) -> DataFrame:
 
 def kb_blocks(blocks: DataFrame) -> DataFrame:
     """Knowledge-base blocks: sections applied, noise and low-value sections dropped, neighbouring
-    text of one page and section merged; tables, figures and formulas stay on their own."""
+    text of one page and section merged; tables, figures and formulas stay on their own, without a
+    text as well if they have an asset (column ``asset_paths``, where there is one)."""
+    if "asset_paths" not in blocks.columns:
+        blocks = blocks.withColumn("asset_paths", F.create_map().cast("map<string,string>"))
     kind = tx.kb_block_type(F.col("block_type"))
     kept = (
         section_stack(blocks)
         .withColumn("kind", kind)
         .filter(~F.col("kind").isin("title", "noise"))
         .filter(~(F.col("skipped") & F.col("kind").isin("text", "table")))
-        .filter(F.col("text") != "")
+        .filter((F.col("text") != "") | ((F.col("kind") != "text") & (F.size(F.map_keys("asset_paths")) > 0)))
     )
     order = W.partitionBy("file_id").orderBy("pos")
     island = F.when(
@@ -333,6 +336,7 @@ def kb_blocks(blocks: DataFrame) -> DataFrame:
         F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"),
         F.min("page_number").alias("page_number"),
         F.array_join(F.min_by("section_path", "pos"), " > ").alias("section"),
+        F.min_by(F.map_entries("asset_paths"), "pos").alias("assets"),
         F.count(F.lit(1)).alias("merged"),
     )
 

@@ -219,13 +219,28 @@ def layout_payloads(t: Tables) -> DataFrame:
         F.when(F.col("pos") % 5 == 2, F.concat(F.lit("img/"), F.col("pos").cast("string"), F.lit(".png"))).alias("img_path"),
         F.array(F.lit(100.0), y, F.lit(10.0), y + 15.0).alias("bbox"),
     )
-    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]))
-    listed = b.groupBy(F.col("page_id").alias("file_id")).agg(items.alias("items"))
-    n = F.col("file_id") % 4
+    said = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("content")))
+    title, kind = F.col("block_type") == "title", F.col("block_type")
+    picture = F.concat(F.lit("img/"), F.col("pos").cast("string"), F.lit(".png"))
+    nested = F.struct(
+        F.when(title, "title").when(kind == "list", "list").when(F.col("pos") % 5 == 2, "image").otherwise("paragraph").alias("type"),
+        F.struct(
+            F.when(title, said).alias("title_content"),
+            F.when(title, F.col("level")).alias("level"),
+            F.when(~title & (kind != "list") & (F.col("pos") % 5 != 2), said).alias("paragraph_content"),
+            F.when(kind == "list", F.array(F.struct(said.alias("item_content")))).alias("list_items"),
+            F.when(~title & (kind != "list") & (F.col("pos") % 5 == 2), F.struct(picture.alias("path"))).alias("image_source"),
+        ).alias("content"),
+    )
+    order = F.sort_array(F.collect_list(F.struct("pos", item.alias("i"), nested.alias("d"))))
+    items, deep = F.to_json(F.transform(order, lambda x: x["i"])), F.to_json(F.transform(order, lambda x: x["d"]))
+    listed = b.groupBy(F.col("page_id").alias("file_id")).agg(items.alias("items"), deep.alias("deep"))
+    n = F.col("file_id") % 5
     body = (
         F.when(n == 0, F.concat(F.lit('{"content_list": '), "items", F.lit("}")))
         .when(n == 1, F.concat(F.lit('{"data": {"result": {"blocks": '), "items", F.lit("}}}")))
         .when(n == 2, F.concat(F.lit('{"meta": {"deep": {"contents": '), "items", F.lit("}}}")))
+        .when(n == 3, F.concat(F.lit('{"result": {"content_list_v2": ['), "deep", F.lit("]}}")))
         .otherwise(F.concat(F.lit('{"result": {"content_list_v2": ['), "items", F.lit("]}}")))
     )
     return listed.select("file_id", body.alias("payload"))
@@ -267,13 +282,9 @@ def section_paths(t: Tables) -> DataFrame:
 
 @query("layout_kb_blocks")
 def layout_kb_blocks(t: Tables) -> DataFrame:
-    """Parser payloads to knowledge-base blocks: shapes, sections, noise, merged text."""
-    items = bl.layout_items(layout_payloads(t)).select(
-        "file_id", F.col("pos").cast("long").alias("pos"), F.col("i.type").alias("block_type"),
-        bl.item_text().alias("text"), F.coalesce(tx.safe_int(F.col("i.level")), F.lit(1)).alias("level"),
-        bl.page_number().alias("page_number"),
-    )
-    return ch.kb_blocks(items)
+    """Parser payloads to knowledge-base blocks: shapes, sections, noise, assets, merged text."""
+    found = ch.kb_blocks(bl.kb_items(layout_payloads(t)))
+    return found.withColumn("assets", F.array_join(F.transform("assets", lambda e: F.concat_ws("=", e["key"], e["value"])), "|"))
 
 
 @query("media_context")

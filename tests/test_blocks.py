@@ -211,3 +211,36 @@ def test_chunks_restart_their_window_at_a_cap(spark, monkeypatch):
             state[c] = (n + 1, total + size, part, first, at)
             want[pos] = part
         assert got == want
+
+
+def test_nested_payloads(spark):
+    said = lambda x: [{"type": "text", "content": x}]
+    nested = {"data": {"content_list_v2": [
+        [
+            {"type": "title", "content": {"title_content": said("One"), "level": 1}},
+            {"type": "paragraph", "content": {"paragraph_content": said("first") + [{"content": " half"}]}},
+            {"type": "paragraph", "content": {"paragraph_content": said("second")}},
+            {"type": "image", "content": {"image_source": {"path": "a.png"}}},
+            {"type": "table", "content": {"table_caption": said("cap"), "html": "<table><tr><td>x</td><td>y</td></tr></table>",
+                                          "table_footnote": said("foot"), "image_source": {"path": "t.png"}}},
+        ],
+        [
+            {"type": "list", "content": {"list_items": [{"item_content": said("a")}, {"item_content": said("b")}]}},
+            {"type": "equation_interline", "content": {"math_content": " E=mc "}, "equation_image_path": "e.png"},
+            {"type": "image", "content": {}},
+        ],
+    ]}}
+    flat = {"contents": [{"type": "text", "text": "p9", "page_idx": 8}, {"type": "text", "text": "p2", "page_number": 2}, "x"]}
+    df = spark.createDataFrame([(1, json.dumps(nested)), (2, json.dumps(flat)), (3, "no json"), (4, None)], "file_id long, payload string")
+    rows = ch.kb_blocks(bl.kb_items(df)).orderBy("file_id", "block_no").collect()
+    got = [(r.file_id, r.kind, r.text, r.page_number, {e.key: e.value for e in r.assets}) for r in rows]
+    assert got == [
+        (1, "text", "first half\n\nsecond", 1, {}),
+        (1, "figure", "", 1, {"img_path": "a.png"}),
+        (1, "table", "Table: cap\nx | y\nNote: foot", 1, {"table_img_path": "t.png"}),
+        (1, "text", "a\nb", 2, {}),
+        (1, "formula", "E=mc", 2, {"equation_img_path": "e.png"}),
+        (2, "text", "p2", 1, {}),
+        (2, "text", "p9", 2, {}),
+    ]
+    assert {r.section for r in rows if r.file_id == 1} == {"One"}
