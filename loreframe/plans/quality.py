@@ -160,19 +160,24 @@ def eval_case_upsert(t: Tables) -> DataFrame:
 
 @query(
     "eval_run",
-    f"""WITH r AS (SELECT c.id AS case_id, q.query_id, list_min(list(CASE WHEN list_contains(c.expected_source_ids, f.id)
-          OR list_contains(c.expected_source_ids, k.source_id) THEN f.rank END)) AS rank, count(f.id) AS retrieved
-      FROM eval_cases c JOIN queries q USING (query_id) LEFT JOIN fused_rows f ON f.query_id = q.query_id AND f.rank <= {TOP_K}
+    f"""WITH r AS (SELECT c.id AS case_id, q.query_id, list_min(list(CASE WHEN list_contains(
+          CASE WHEN len(l.chunks) > 0 THEN l.chunks ELSE l.sources END, CASE WHEN len(l.chunks) > 0 THEN f.id ELSE k.source_id END)
+          THEN f.rank END)) AS rank, count(f.id) AS retrieved
+      FROM eval_cases c JOIN eval_labels l ON l.id = c.id JOIN queries q USING (query_id) LEFT JOIN fused_rows f ON f.query_id = q.query_id AND f.rank <= {TOP_K}
       LEFT JOIN knowledge_chunks k ON k.id = f.id GROUP BY ALL)
     SELECT case_id, retrieved, rank, CASE WHEN rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS recall_at_k, coalesce(1.0::DOUBLE / rank, 0) AS mrr,
       CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END AS hit_rate_at_1, 'faq_exact' AS intent FROM r""",
 )
 def eval_run(t: Tables) -> DataFrame:
-    """All cases through the hybrid run; chunk ids and source ids both count as expected ids."""
+    """All cases through the hybrid run; a case's source ids count only where it expects no chunk ids."""
     hits = rt.hybrid_topk(t.queries, t.retrieval_aliases, live(t)).select("query_id", "id", "rank")
     found = hits.join(t.knowledge_chunks.select("id", "source_id"), "id")
-    cases = t.eval_cases.select(F.col("id").alias("case_id"), "query_id", "question", "expected_source_ids")
-    hit = F.array_contains("expected_source_ids", F.col("id")) | F.array_contains("expected_source_ids", F.col("source_id"))
+    labels = eval_labels(t).select(F.col("id").alias("case_id"), "expected_chunk_ids", "expected_source_ids")
+    cases = t.eval_cases.select(F.col("id").alias("case_id"), "query_id", "question").join(labels, "case_id")
+    by_chunk = F.size("expected_chunk_ids") > 0
+    hit = F.when(by_chunk, F.array_contains("expected_chunk_ids", F.col("id"))).otherwise(
+        F.array_contains("expected_source_ids", F.col("source_id"))
+    )
     ranked = cases.join(found, "query_id", "left").groupBy("case_id", "question").agg(
         F.count("id").alias("retrieved"), F.min(F.when(hit, F.col("rank"))).alias("rank")
     )
