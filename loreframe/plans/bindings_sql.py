@@ -86,7 +86,7 @@ BINDINGS: dict[str, str] = {
       CASE WHEN l.quality = 0 THEN 'needs_review' ELSE 'usable' END AS status,
       CASE WHEN d.doc_id % 17 = 0 THEN 'stale' ELSE 'ready' END AS embedding_status,
       {secs('d.doc_id')} AS updated_at, e.embedding
-      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id
+      FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
       LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "faq_documents": f"""SELECT 'faq_' || item_id AS id, {_Q} AS question,
       CASE WHEN item_id % 2 = 0 THEN [lower({_Q})] ELSE [] END AS question_variants,
@@ -102,7 +102,7 @@ BINDINGS: dict[str, str] = {
       '问题：' || question || chr(10) || '答案：' || answer AS content,
       concat_ws(chr(10), question, nullif(answer, ''), category) AS search_text,
       status, embedding_status, updated_at, embedding
-      FROM faq_documents JOIN embeddings ON vec_id = item_id""",
+      FROM faq_documents LEFT JOIN embeddings ON vec_id = item_id""",
     "knowledge_chunks": "SELECT * FROM document_chunk_rows UNION ALL SELECT * FROM faq_chunk_rows",
     "queries": """SELECT vec_id AS query_id,
       array_to_string(string_split(text, ' ')[1:3], ' ') AS query, embedding AS query_embedding

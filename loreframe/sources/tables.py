@@ -117,14 +117,14 @@ class Tables:
 
     @cached_property
     def document_chunk_rows(self) -> DataFrame:
-        """Vector form of the searchable rows: one child row per embedded document."""
+        """Searchable rows: one child row per document, with the vector of its number where there is one."""
         docs = self.raw("documents").select("doc_id", "text", "lang", "source")
         vec = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         labels = self.raw("labels").select("doc_id", "quality")
         d = F.col("doc_id").cast("string")
         title = F.concat("source", F.lit(".md"))
         return (
-            docs.join(vec, "doc_id")
+            docs.join(vec, "doc_id", "left")
             .join(labels, "doc_id", "left")
             .select(
                 F.concat(F.lit("kc_"), d).alias("id"),
@@ -182,10 +182,10 @@ class Tables:
 
     @cached_property
     def faq_chunk_rows(self) -> DataFrame:
-        """One searchable row per FAQ, with the vector of the same number."""
+        """One searchable row per FAQ, with the vector of the same number where there is one."""
         f = self.faq_documents
         vec = self.raw("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-        return f.join(vec, "item_id").select(
+        return f.join(vec, "item_id", "left").select(
             F.concat(F.lit("kc_faq_"), "id").alias("id"),
             F.lit("faq").alias("source_type"),
             F.col("id").alias("source_id"),
