@@ -120,6 +120,12 @@ def chat_keywords(c: Column) -> Column:
     return keywords_in(c, CHAT_KEYWORDS, 4)
 
 
+def chunk_keywords(blocks: Column, limit: int = 6) -> Column:
+    """First distinct source files, section titles and types of struct(source_file, section_title, block_type)."""
+    values = F.flatten(F.transform(blocks, lambda b: F.array(b["source_file"], b["section_title"], b["block_type"])))
+    return F.slice(F.array_distinct(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != "")), 1, limit)
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

@@ -1043,3 +1043,24 @@ def dq_one_active(t: Tables) -> DataFrame:
         )
 
     return active(t.parse_jobs, "parse", "file_id").unionByName(active(t.kg_jobs, "extraction", "source_id"))
+
+
+# --- stored tables ----------------------------------------------------------------------------------
+
+
+@query(
+    "chunk_table_update",
+    """SELECT id, file_id, CASE WHEN file_id IN ('src3', 'src7') THEN 'usable' ELSE retrieval_status END AS retrieval_status
+    FROM import_chunks WHERE NOT (file_id = 'src3' AND is_disabled)""",
+)
+def chunk_table_update(t: Tables) -> DataFrame:
+    """The chunk table, written by file; then two files are written again without touching the others."""
+    from loreframe.operators.sinks import replace_partitions
+    from loreframe.session import new_work_path
+
+    path = new_work_path(t.spark, "chunks")
+    rows = t.import_chunks.select("id", "file_id", "retrieval_status", "is_disabled")
+    replace_partitions(rows, path, ["file_id"])
+    again = rows.filter(F.col("file_id").isin("src3", "src7")).withColumn("retrieval_status", F.lit("usable"))
+    replace_partitions(again.filter("not (file_id = 'src3' and is_disabled)"), path, ["file_id"])
+    return t.spark.read.schema(rows.schema).parquet(path).select("id", "file_id", "retrieval_status")

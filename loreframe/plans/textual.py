@@ -521,3 +521,25 @@ def reparse_needed(t: Tables) -> DataFrame:
         )
         .select("id", "input_fingerprint", (F.col("stored") != F.col("input_fingerprint")).alias("reparse"))
     )
+
+
+@query(
+    "chunk_keywords",
+    """WITH b AS (SELECT source AS file_id, doc_id, [source || '.md', nullif(lang, 'fr'), CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'text' END] AS v
+      FROM documents),
+    f AS (SELECT file_id, doc_id // 200 AS chunk, v[i] AS word, doc_id * 3 + i AS place
+      FROM b, (SELECT unnest(range(1, 4)) AS i) WHERE v[i] IS NOT NULL),
+    d AS (SELECT file_id, chunk, word, min(place) AS place FROM f GROUP BY ALL)
+    SELECT file_id, chunk, array_to_string((list(word ORDER BY place))[1:4], '|') AS keywords FROM d GROUP BY ALL""",
+)
+def chunk_keywords(t: Tables) -> DataFrame:
+    """Keywords of chunks of some documents per file, from file name, section and type."""
+    block = F.struct(
+        "doc_id",
+        F.concat("source", F.lit(".md")).alias("source_file"),
+        F.nullif("lang", F.lit("fr")).alias("section_title"),
+        F.when(F.col("doc_id") % 3 == 0, "table").otherwise("text").alias("block_type"),
+    )
+    rows = t.raw("documents").groupBy(F.col("source").alias("file_id"), F.floor(F.col("doc_id") / 200).alias("chunk"))
+    gathered = rows.agg(F.sort_array(F.collect_list(block)).alias("blocks"))
+    return gathered.select("file_id", "chunk", F.array_join(tx.chunk_keywords(F.col("blocks"), 4), "|").alias("keywords"))

@@ -38,14 +38,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    a folder of our own is taken, and it is set on the context so ``checkpoint()`` uses it too.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session (tests, a laptop), where that
+    is unset, takes a folder of its own, and it is set on the context so ``checkpoint()`` uses it too.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not is_local(spark.sparkContext.master):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="run-")
@@ -53,6 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def new_work_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; never reused between runs."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
