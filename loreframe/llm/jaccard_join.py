@@ -11,7 +11,7 @@ that two similar nodes share one:
 The boundary is the set size with the least total of enumerated subsets below and scanned list
 entries above it, both counted over the whole input.
 
-A short list is compared pair by pair. A longer one is scanned without comparing all its pairs, against a
+A short list is compared pair by pair, first by the n-grams that made the lists, then by whole sets. A longer one is scanned without comparing all its pairs, against a
 reference set ``m``: the n-grams that most of some of its members have. Any set would give right results;
 a typical one leaves little to do. Let e(x) be the number of n-grams in which x and m differ, and
 w(x) = r|x| - e(x) with r = (100 - percent) / (100 + percent). Two sets match when they differ in at most
@@ -49,9 +49,10 @@ from loreframe.llm.wordarrays import mix, shingles, slices, sorted_sets, text_by
 
 LIGHT_SIZES = 32  # sizes up to this one are tried as the boundary
 SHORT_LIST = 32  # lists up to this length are compared pair by pair
-REFERENCE_FROM = 33  # so many members of a longer list make its reference set
+REFERENCE_FROM = 9  # so many members of a longer list make its reference set
+BITMAP = 1 << 24  # bits of the filter that keeps unneeded sets from being moved
 BLOCK = 1024  # lists of differences up to this length are compared in one task
-FREQUENT_AT = 64  # a list is frequent from this length on ...
+FREQUENT_AT = 24  # a list is frequent from this length on ...
 FREQUENT_MOST = 1 << 18  # ... or longer, so that at most this many lists are frequent
 
 
@@ -120,31 +121,46 @@ def _describe(size: int, percent: int):
     return run
 
 
-def _members(size: int):
-    """Per text: its whole sorted set, for the nodes asked for."""
+def _members(size: int, wanted):
+    """Per text: its whole sorted set, if its node may be one of those asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = wanted.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 values, offsets = _sets(batch, size)
-                members = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(m) if len(m) else None for m in members], pa.int64()), _lists(members)],
-                    names=["node", "members"],
-                )
+                nodes, kept = [], []
+                for a, b in zip(offsets[:-1], offsets[1:]):
+                    if a < b:
+                        node = _node(values[a:b])
+                        bit = node & (BITMAP - 1)
+                        if int(words[bit >> 6]) >> (bit & 63) & 1:
+                            nodes.append(node)
+                            kept.append(values[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept)], names=["node", "members"])
 
     return run
 
 
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """BITMAP bits, with the one of each node set; a prefilter of fixed size, an exact join follows."""
+    bit = F.col("node").bitwiseAND(F.lit(BITMAP - 1))
+    words = nodes.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[[r["word"] for r in found]] = [r["bits"] for r in found]
+    return out.view(np.uint64)
+
+
 def _entries(size: int, percent: int, boundary: int, frequent):
-    """List entries (list, node, n) of every node by its class."""
+    """List entries (list, node, n) of every text by its class; ``many`` where the list is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 values, offsets = _sets(batch, size)
-                keys, nodes, sizes = [], [], []
+                keys, nodes, sizes, many = [], [], [], []
                 for a, b in zip(offsets[:-1], offsets[1:]):
                     n = int(b - a)
                     if not n:
@@ -164,10 +180,11 @@ def _entries(size: int, percent: int, boundary: int, frequent):
                     keys.append(key)
                     nodes.append(np.full(len(key), _node(members), np.int64))
                     sizes.append(np.full(len(key), n, np.int64))
+                    many.append(_in(key, late))
                 if keys:
+                    arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes, sizes)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes, sizes)],
-                        names=["list", "node", "n"],
+                        [*arrays, pa.array(np.concatenate(many))], names=["list", "node", "n", "many"]
                     )
 
     return run
@@ -188,6 +205,26 @@ def _in(x: np.ndarray, m: np.ndarray) -> np.ndarray:
     return m[np.minimum(np.searchsorted(m, x), len(m) - 1)] == x if len(m) else np.zeros(len(x), bool)
 
 
+def _possible(percent: int):
+    """The pairs that their first n-grams by hash do not rule out.
+
+    Up to the smaller of the two last ones both sets are known, so what differs there differs in all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            sizes = zip(batch.column("x_n").to_pylist(), batch.column("m_n").to_pylist())
+            for (x, m), (x_n, m_n) in zip(_two_sets(batch), sizes):
+                bound = min(x[-1], m[-1])
+                x, m = x[: np.searchsorted(x, bound, "right")], m[: np.searchsorted(m, bound, "right")]
+                apart = len(x) + len(m) - 2 * int(_in(x, m).sum())
+                keep.append((100 + percent) * apart <= (100 - percent) * (x_n + m_n))
+            yield batch.select(["m", "x"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _match(percent: int):
     """The pairs (a, b) of nodes that match."""
 
@@ -210,7 +247,6 @@ def _differences(frequent):
         for batch in batches:
             total, differences = [], []
             for x, m in _two_sets(batch):
-                m = np.sort(m)  # SQL sorts signed values
                 plus, minus = _by_order(x[~_in(x, m)], late), m[~_in(m, x)]
                 total.append(len(plus) + len(minus))
                 # one more scrambling tells a missing n-gram from a further one
@@ -278,21 +314,30 @@ def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
     return paired.select(F.col("a.node").alias("m"), F.col("b.node").alias("x")).distinct()
 
 
-def _references(long: DataFrame, sets: DataFrame) -> DataFrame:
-    """(list, band, m, m_set): the n-grams that most of REFERENCE_FROM members of each long list have.
+def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per m: the sorted n-grams that most of its sets have."""
+    for batch in batches:
+        usual = []
+        for sets in batch.column("sets"):
+            values = np.concatenate([x.values.to_numpy().view(np.uint64) for x in sets])
+            token, times = np.unique(values, return_counts=True)
+            usual.append(token[2 * times > len(sets)])
+        yield pa.RecordBatch.from_arrays([batch.column("m"), _lists(usual)], names=["m", "m_set"])
 
-    Lists that came from the same list and have equal references are taken together under one id ``m``.
-    A difference from m is one that most members do not have, so the next lists are shorter.
+
+def _references(long: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((list, band, m), (m, m_set)): the reference of each long list, from REFERENCE_FROM of its members.
+
+    Lists that came from the same list and have the same of them are taken together under one id ``m``.
+    A difference from m is one that most of these do not have, so the next lists are shorter.
     """
     order = W.partitionBy("list", "band").orderBy(F.xxhash64("node"), "node")
     some = long.withColumn("i", F.row_number().over(order)).where(F.col("i") <= REFERENCE_FROM)
-    tokens = some.join(sets, "node").select("list", "band", F.explode("members").alias("token"))
-    usual = tokens.groupBy("list", "band", "token").agg(F.count(F.lit(1)).alias("k"))
-    usual = usual.where(F.col("k") * 2 > min(REFERENCE_FROM, SHORT_LIST + 1))
-    of = usual.groupBy("list", "band").agg(F.collect_list("token").alias("m_set"))
-    of = long.select("list", "band", "parent").distinct().join(of, ["list", "band"], "left")
-    of = of.withColumn("m_set", F.array_sort(F.coalesce("m_set", F.array().cast("array<long>"))))
-    return of.withColumn("m", F.xxhash64("parent", "m_set"))
+    some = some.groupBy("list", "band", "parent").agg(F.sort_array(F.collect_list("node")).alias("some"))
+    of = written(some.withColumn("m", F.xxhash64("parent", "some")), "of")
+    members = of.select("m", "some").dropDuplicates(["m"]).select("m", F.explode("some").alias("node"))
+    held = members.join(sets, "node").groupBy("m").agg(F.collect_list("members").alias("sets"))
+    return of.select("list", "band", "m"), held.mapInArrow(_usual, "m long, m_set array<long>")
 
 
 def _scanned(compared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -347,11 +392,8 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
         texts.mapInArrow(_describe(size, percent), "doc_id long, node long, n_shingles long, first array<long>"),
         "nodes",
     )
-    by_node = described.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first")
-    )
     lengths = written(
-        by_node.select(F.explode("first").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1"),
+        described.select(F.explode("first").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1"),
         "lengths",
     )
     total = described.agg(F.sum(F.size("first"))).first()[0] or 0
@@ -359,35 +401,36 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
     # at most FREQUENT_MOST values, as the lists hold ``total`` entries together
     late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))
     late = spark.sparkContext.broadcast(late)
-    boundary = _boundary(by_node, lengths, percent)
-
-    # one row per node: that of its smallest doc_id
-    one = by_node.select("doc_id").distinct()
-    chosen = texts.join(one, texts["doc_id"].eqNullSafe(one["doc_id"]), "left_semi")
-    entries = written(
-        chosen.mapInArrow(_entries(size, percent, boundary, late), "list long, node long, n long").distinct(), "entries"
-    )
-    shared = entries.groupBy("list").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("list")
-    entries = written(entries.join(shared, "list", "left_semi"), "shared")
-    nodes = entries.select("node").distinct()
-    rows = described.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = rows.select("doc_id").distinct()
-    sets = written(
-        texts.join(rows, texts["doc_id"].eqNullSafe(rows["doc_id"]), "left_semi")
-        .mapInArrow(_members(size), "node long, members array<long>")
-        .join(nodes, "node", "left_semi")
-        .dropDuplicates(["node"]),
-        "sets",
-    )
-    x_sets = sets.select(F.col("node").alias("x"), F.col("members").alias("x_set"))
-    m_sets = sets.select(F.col("node").alias("m"), F.col("members").alias("m_set"))
+    boundary = _boundary(described, lengths, percent)
+
+    entries = texts.mapInArrow(_entries(size, percent, boundary, late), "list long, node long, n long, many boolean")
+    # a frequent list has members enough; of the others those with two different nodes go on
+    one = W.partitionBy("list")
+    rare = entries.where("not many").select("list", "node", "n")
+    rare = rare.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).where("low < high")
+    entries = rare.drop("low", "high").union(entries.where("many").select("list", "node", "n")).distinct()
+    entries = written(entries, "entries").withColumns({"open": F.lit(True), "parent": F.lit(0).cast("long")})
+    sets = None
     links = empty_like(spark, "m long, x long")
-    entries = entries.withColumns({"open": F.lit(True), "parent": F.lit(0).cast("long")})
+    first = described.where("node is not null").select("node", "n_shingles", "first").dropDuplicates(["node"])
+    x_first, m_first = (
+        first.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("first").alias(f"{k}_set")) for k in "xm"
+    )
     compared = None
     while not entries.isEmpty():
-        live = _live_members(entries, percent)
+        live = written(_live_members(entries, percent), "live")
         length = F.col("members")
-        pairs = _short_pairs(live.where(length <= SHORT_LIST), percent)
+        pairs = _short_pairs(live.where(length <= SHORT_LIST), percent).join(x_first, "x").join(m_first, "m")
+        pairs = written(pairs.mapInArrow(_possible(percent), "m long, x long"), "pairs")
+        long = live.where(length > (SHORT_LIST if compared is None else BLOCK))
+        long = long.select("list", "band", "node", "n", "parent")
+        if sets is None:
+            nodes = pairs.select(F.col("m").alias("node")).union(pairs.select("x")).union(long.select("node")).distinct()
+            wanted = spark.sparkContext.broadcast(_bitmap(nodes))
+            found = texts.mapInArrow(_members(size, wanted), "node long, members array<long>")
+            sets = written(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+            x_sets = sets.select(F.col("node").alias("x"), F.col("members").alias("x_set"))
+            m_sets = sets.select(F.col("node").alias("m"), F.col("members").alias("m_set"))
         linked = pairs.join(x_sets, "x").join(m_sets, "m").mapInArrow(_match(percent), "m long, x long")
         links = links.union(written(linked, "matched"))
         if compared is not None:
@@ -396,17 +439,15 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
                 compared.select(F.col("m").alias("parent"), F.col("x").alias("node"), "e", "differences"), ["parent", "node"]
             )
             links = links.union(written(blocks.groupBy("list", "band").applyInArrow(_block(percent), "m long, x long"), "blocks"))
-        long = live.where(length > (SHORT_LIST if compared is None else BLOCK))
-        long = written(long.select("list", "band", "node", "n", "parent"), "long")
         if long.isEmpty():
             break
-        references = written(_references(long, sets), "references")
+        of, references = _references(long, sets)
         compared = written(
-            long.join(references.select("list", "band", "m"), ["list", "band"])
+            long.join(of, ["list", "band"])
             .select("m", F.col("node").alias("x"), "n")
             .distinct()
             .join(x_sets, "x")
-            .join(references.select("m", "m_set").dropDuplicates(["m"]), "m")
+            .join(references, "m")
             .select("m", "x", "n", "x_set", "m_set")
             .mapInArrow(_differences(late), "m long, x long, n long, e long, differences array<long>"),
             "compared",
