@@ -23,42 +23,89 @@ def delimiter_pattern(delimiter: str | None) -> str:
     return "|".join([*(re.escape(ch) for ch in singles), *(re.escape(g) for g in groups)])
 
 
-def split_keep(content: Column, pattern: str) -> Column:
+def row_pattern(delimiter: Column) -> Column:
+    """``delimiter_pattern`` of a setting that differs from row to row; empty for none."""
+    text = F.coalesce(delimiter, F.lit(""))
+    for escape, sign in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
+        text = F.replace(text, F.lit(escape), F.lit(sign))
+    groups = F.array_sort(
+        F.array_distinct(F.regexp_extract_all(text, F.lit("`([^`]+)`"), 1)),
+        lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0),
+    )
+    singles = F.filter(F.split(F.regexp_replace(text, "`[^`]+`", ""), ""), lambda c: c != "")
+    quoted = F.transform(F.concat(singles, groups), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+    return F.array_join(quoted, "|")
+
+
+def split_keep(content: Column, pattern: str | Column) -> Column:
     """Pieces of a text, each keeping the delimiter that ends it; blank pieces are dropped."""
-    if not pattern:
-        return F.when(~tx.blank(content), F.array(content)).otherwise(F.array().cast("array<string>"))
-    marked = F.regexp_replace(content, f"({pattern})", "$1\u0000")
-    return F.filter(
-        F.split(marked, "\u0000"),
-        lambda p: ~tx.blank(p) & ~p.rlike(f"^({pattern})$"),
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    group = F.concat(F.lit("("), pattern, F.lit(")"))
+    pieces = F.filter(
+        F.split(F.regexp_replace(content, group, F.lit("$1\u0000")), "\u0000"),
+        lambda p: ~tx.blank(p) & ~F.rlike(p, F.concat(F.lit("^"), group, F.lit("$"))),
     )
+    whole = F.when(~tx.blank(content), F.array(content)).otherwise(F.array().cast("array<string>"))
+    return F.when(pattern == "", whole).otherwise(pieces)
 
 
-def child_texts(text: Column, pattern: str) -> Column:
+def child_texts(text: Column, pattern: str | Column) -> Column:
     """Delimiter pieces, or the whole text when there are none."""
     pieces = split_keep(text, pattern)
     return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.coalesce(text, F.lit(""))))
 
 
-def expected_rows(text: Column, pattern: str) -> Column:
-    return (F.size(child_texts(text, pattern)) + 1).cast("long")
+def children() -> Column:
+    """Children of a source chunk: its blocks that have a text, else the pieces by its own delimiter.
 
+    Array of struct(text, section_path, page_start, page_end, block_type); what a block does not say is
+    the chunk's.
+    """
+    def child(text, path, first, last, kind):
+        return F.struct(
+            text.alias("text"), path.alias("section_path"), first.alias("page_start"), last.alias("page_end"), kind.alias("block_type")
+        )
+
+    def own_path(block):
+        parts = F.transform(F.split(F.coalesce(block["section_title"], F.lit("")), ">"), lambda x: tx.strip(x))
+        return F.filter(parts, lambda x: x != "")
+
+    blocks = F.filter("source_blocks", lambda b: ~tx.blank(b["text"]))
+    from_blocks = F.transform(
+        blocks,
+        lambda b: child(
+            tx.strip(b["text"]),
+            F.when(F.size(own_path(b)) > 0, own_path(b)).otherwise(F.col("section_path")),
+            F.coalesce(b["page_number"], F.col("page_start")),
+            F.coalesce(b["page_number"], F.col("page_end")),
+            F.coalesce(F.nullif(b["block_type"], F.lit("")), F.col("block_type")),
+        ),
+    )
+    from_text = F.transform(
+        child_texts(F.col("source_text"), row_pattern(F.col("children_delimiter"))),
+        lambda x: child(x, F.col("section_path"), F.col("page_start"), F.col("page_end"), F.col("block_type")),
+    )
+    return F.when(F.size(blocks) > 0, from_blocks).otherwise(from_text)
 
-def document_knowledge_rows(chunks: DataFrame, files: DataFrame, delimiter: str = "\\n") -> DataFrame:
+
+def expected_rows() -> Column:
+    """Rows that a source chunk should have: its parent and its children."""
+    return (F.size(children()) + 1).cast("long")
+
+
+def document_knowledge_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """One parent and its children per source chunk, with ids, index, texts and hash."""
-    pattern = delimiter_pattern(delimiter)
     titled = chunks.join(
         files.select(F.col("id").alias("file_id"), F.col("original_name").alias("source_title")), "file_id"
     )
-    parts = F.concat(
-        F.array(F.when(~tx.blank(F.col("source_text")), F.col("source_text")).otherwise("")),
-        child_texts(F.col("source_text"), pattern),
+    parent = F.struct(
+        F.when(~tx.blank(F.col("source_text")), F.col("source_text")).otherwise("").alias("text"),
+        "section_path", "page_start", "page_end", "block_type",
     )
     rows = titled.select(
-        "id", "file_id", "source_title", "chunk_index", "section_path", "page_start", "page_end",
-        "block_type", "keywords", "questions",
-        F.posexplode(parts).alias("child_no", "content"),
-    )
+        "id", "file_id", "source_title", "chunk_index", "keywords", "questions",
+        F.posexplode(F.concat(F.array(parent), children())).alias("child_no", "part"),
+    ).select("*", F.col("part.text").alias("content"), "part.section_path", "part.page_start", "part.page_end", "part.block_type")
     parent_id = F.concat(F.lit("kc_document_"), F.col("id"))
     child = F.col("child_no") > 0
     embedding_text = tx.document_embedding_text(
@@ -169,19 +216,18 @@ def chunk_status(expected: Column) -> Column:
     )
 
 
-def chunk_embedding_status(chunks: DataFrame, rows: DataFrame, pattern: str) -> DataFrame:
-    expected = chunks.withColumn("expected", expected_rows(F.col("source_text"), pattern)).drop("source_text")
+def chunk_embedding_status(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    expected = chunks.select("id", "file_id", "is_disabled", expected_rows().alias("expected"))
     return chunk_embedding_counts(expected, rows).withColumn(
         "embedding_status", chunk_status(F.col("expected"))
     )
 
 
 def file_embedding_summary(
-    files: DataFrame, chunks: DataFrame, rows: DataFrame, pattern: str
+    files: DataFrame, chunks: DataFrame, rows: DataFrame
 ) -> DataFrame:
     """Totals per file; expected rows that do not exist yet count as pending."""
-    enabled = chunks.filter(~F.col("is_disabled")).select("id", "file_id", "source_text")
-    status = chunk_embedding_status(enabled, rows, pattern)
+    status = chunk_embedding_status(chunks.filter(~F.col("is_disabled")), rows)
     missing = F.greatest(F.col("expected") - F.col("knowledge_count"), F.lit(0))
     per_file = status.groupBy("file_id").agg(
         F.sum(F.greatest("expected", "knowledge_count")).alias("total_chunks"),

@@ -69,7 +69,12 @@ BINDINGS: dict[str, str] = {
       'needs_review' AS status, source = 'src7' AS is_disabled, {secs('max(doc_id)')} AS updated_at
       FROM documents GROUP BY source""",
     "import_chunks": """SELECT 'chunk_' || d.doc_id AS id, d.source AS file_id,
-      d.doc_id AS chunk_index, d.text AS source_text, '\\n' AS children_delimiter,
+      d.doc_id AS chunk_index, d.text AS source_text,
+      CASE d.doc_id % 7 WHEN 3 THEN '`. `\\n' WHEN 5 THEN '' ELSE '\\n' END AS children_delimiter,
+      CASE WHEN d.doc_id % 11 = 4 THEN [
+        {'text': '  ' || d.text || ' ', 'section_title': 'A > ' || d.lang, 'page_number': CAST(d.doc_id % 9 AS INTEGER), 'block_type': CAST(NULL AS VARCHAR)},
+        {'text': '   ', 'section_title': 'B', 'page_number': 1, 'block_type': 'text'},
+        {'text': d.source, 'section_title': NULL, 'page_number': NULL, 'block_type': 'table'}] ELSE [] END AS source_blocks,
       [d.lang] AS section_path,
       CASE WHEN d.doc_id % 4 <> 0 THEN CAST(d.doc_id % 50 + 1 AS INT) END AS page_start,
       CASE WHEN d.doc_id % 4 > 1 THEN CAST(d.doc_id % 50 + 2 AS INT) END AS page_end,

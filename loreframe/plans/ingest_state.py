@@ -13,14 +13,18 @@ from loreframe.sources.tables import NOW, Tables, minus_seconds, now
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 SQL_STAMP = "'%Y-%m-%d %H:%M:%S'"
-PATTERN = kn.delimiter_pattern("\\n")
 
 register(
     "child_lists",
-    f"""SELECT * EXCLUDE (p, pieces), CASE WHEN len(pieces) > 0 THEN pieces ELSE [source_text] END AS kids FROM (
-      SELECT *, list_filter(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i] = '' THEN ''
-        WHEN i < len(p) THEN p[i] || chr(10) ELSE p[i] END), lambda x: {strip('x')} <> '') AS pieces
-      FROM (SELECT *, string_split(source_text, chr(10)) AS p FROM import_chunks))""",
+    rf"""SELECT * EXCLUDE (pieces), CASE WHEN len(blocks) > 0 THEN list_transform(blocks, lambda b: {strip('b.text')})
+      WHEN len(pieces) > 0 THEN pieces ELSE [source_text] END AS kids FROM (
+      SELECT *, list_filter(source_blocks, lambda b: {strip('b.text')} <> '') AS blocks,
+        CASE children_delimiter
+          WHEN '\n' THEN list_filter(string_split(regexp_replace(source_text, '(\n)', '\1' || chr(1), 'g'), chr(1)),
+            lambda x: {strip('x')} <> '')
+          WHEN '`. `\n' THEN list_filter(string_split(regexp_replace(source_text, '(\n|\. )', '\1' || chr(1), 'g'), chr(1)),
+            lambda x: {strip('x')} <> '' AND x <> '. ')
+          ELSE [] END AS pieces FROM import_chunks)""",
 )
 register(
     "doc_rows",
@@ -33,8 +37,14 @@ register(
       {DOC_TEXT} AS embedding_text,
       array_to_string({ITEMS.format(f"[title, array_to_string(section_path, ' > '), {PAGES}, block_type] || keywords || questions || [body]")}, chr(10)) AS search_text,
       'usable' AS status
-      FROM (SELECT * EXCLUDE (kids), file_id || '.md' AS title, unnest([source_text] || kids) AS body,
-        unnest(range(0, len(kids) + 1)) AS child_no FROM child_lists)""",
+      FROM (SELECT id, file_id, title, body, child_no, chunk_index, keywords, questions,
+          CASE WHEN len(own_path) > 0 THEN own_path ELSE section_path END AS section_path,
+          coalesce(b.page_number, page_start) AS page_start, coalesce(b.page_number, page_end) AS page_end,
+          coalesce(b.block_type, block_type) AS block_type
+        FROM (SELECT *, list_filter(list_transform(string_split(b.section_title, '>'), lambda x: trim(x)), lambda x: x <> '') AS own_path
+          FROM (SELECT *, CASE WHEN child_no > 0 AND len(blocks) > 0 THEN blocks[child_no] END AS b
+            FROM (SELECT * EXCLUDE (kids), file_id || '.md' AS title, unnest([source_text] || kids) AS body,
+              unnest(range(0, len(kids) + 1)) AS child_no FROM child_lists))))""",
 )
 # Stored rows: the generated rows with some missing and with mixed embedding states.
 register(
@@ -72,13 +82,13 @@ def stored_rows(t: Tables) -> DataFrame:
 )
 def child_split(t: Tables) -> DataFrame:
     return t.import_chunks.select(
-        "id", F.posexplode(kn.child_texts(F.col("source_text"), PATTERN)).alias("pos", "piece")
-    ).withColumn("pos", F.col("pos").cast("long"))
+        "id", F.posexplode(kn.children()).alias("pos", "c")
+    ).select("id", F.col("pos").cast("long").alias("pos"), F.col("c.text").alias("piece"))
 
 
 @query("expected_rows", "SELECT id, len(kids) + 1 AS expected FROM child_lists")
 def expected_rows(t: Tables) -> DataFrame:
-    return t.import_chunks.select("id", kn.expected_rows(F.col("source_text"), PATTERN).alias("expected"))
+    return t.import_chunks.select("id", kn.expected_rows().alias("expected"))
 
 
 @query(
@@ -168,8 +178,7 @@ def chunk_embedding_counts(t: Tables) -> DataFrame:
 
 
 def states(t: Tables) -> DataFrame:
-    chunks = t.import_chunks.select("id", "file_id", "is_disabled", "source_text")
-    return kn.chunk_embedding_status(chunks, stored_rows(t), PATTERN)
+    return kn.chunk_embedding_status(t.import_chunks, stored_rows(t))
 
 
 @query("chunk_embedding_status", "SELECT id, file_id, expected, knowledge_count, embedding_status FROM chunk_states")
@@ -216,7 +225,7 @@ register(
 
 
 def file_summary(t: Tables) -> DataFrame:
-    return kn.file_embedding_summary(t.import_files, t.import_chunks, stored_rows(t), PATTERN)
+    return kn.file_embedding_summary(t.import_files, t.import_chunks, stored_rows(t))
 
 
 @query("file_embedding_summary", "SELECT * FROM file_summaries")
@@ -311,7 +320,7 @@ def generation_job_counts(t: Tables) -> DataFrame:
     FROM child_lists GROUP BY file_id""",
 )
 def file_totals(t: Tables) -> DataFrame:
-    size = F.size(kn.child_texts(F.col("source_text"), PATTERN)).cast("long")
+    size = F.size(kn.children()).cast("long")
     return t.import_chunks.select("file_id", size.alias("n")).groupBy("file_id").agg(
         F.sum("n").alias("message_count"), F.count(F.lit(1)).alias("chunk_count")
     )

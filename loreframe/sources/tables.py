@@ -90,12 +90,25 @@ class Tables:
     def import_chunks(self) -> DataFrame:
         docs = self.raw("documents").select("doc_id", "text", "lang", "source")
         labels = self.raw("labels")
+        none = F.lit(None).cast("string")
+
+        def block(text, section, page, kind):
+            return F.struct(
+                text.alias("text"), section.alias("section_title"), page.cast("int").alias("page_number"), kind.alias("block_type")
+            )
+
+        blocks = F.array(
+            block(F.concat(F.lit("  "), "text", F.lit(" ")), F.concat(F.lit("A > "), "lang"), F.col("doc_id") % 9, none),
+            block(F.lit("   "), F.lit("B"), F.lit(1), F.lit("text")),
+            block(F.col("source"), none, F.lit(None), F.lit("table")),
+        )
         return docs.join(labels, "doc_id", "left").select(
             F.concat(F.lit("chunk_"), F.col("doc_id").cast("string")).alias("id"),
             F.col("source").alias("file_id"),
             F.col("doc_id").alias("chunk_index"),
             F.col("text").alias("source_text"),
-            F.lit("\\n").alias("children_delimiter"),
+            F.when(F.col("doc_id") % 7 == 3, "`. `\\n").when(F.col("doc_id") % 7 == 5, "").otherwise("\\n").alias("children_delimiter"),
+            F.when(F.col("doc_id") % 11 == 4, blocks).otherwise(F.slice(blocks, 1, 0)).alias("source_blocks"),
             strings(F.col("lang")).alias("section_path"),
             F.when(F.col("doc_id") % 4 != 0, (F.col("doc_id") % 50 + 1).cast("int")).alias(
                 "page_start"
