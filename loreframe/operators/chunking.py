@@ -69,30 +69,31 @@ def naive_groups(
 ) -> DataFrame:
     """Adds ``chunk_no``: a new chunk starts once the running total has passed the threshold.
 
-    The test looks at the total before adding, and every block counts its leading line break.
+    The test looks at the total before adding, and every block counts its leading line break. Blocks
+    without a text take part only if they have an asset (column ``asset_paths``, where there is one).
     """
     threshold = max(chunk_tokens, 0) * (100 - min(max(overlap_percent, 0), 99)) / 100
     size = (tokens if tokens is not None else F.length(F.concat(F.lit("\n"), "text"))).cast("long")
-    sizes = blocks.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", size.alias("size")))).alias("b"))
-    numbered = F.aggregate(
-        "b",
-        F.struct(
-            F.lit(-1).cast("long").alias("no"),
-            F.lit(None).cast("long").alias("total"),
-            F.array().cast("array<bigint>").alias("out"),
-        ),
-        lambda acc, x: F.when(
-            acc["total"].isNull() | (acc["total"] > threshold),
-            F.struct((acc["no"] + 1).alias("no"), x["size"].alias("total"), F.array_append(acc["out"], acc["no"] + 1).alias("out")),
-        ).otherwise(
-            F.struct(acc["no"].alias("no"), (acc["total"] + x["size"]).alias("total"), F.array_append(acc["out"], acc["no"]).alias("out"))
-        ),
-        lambda acc: acc["out"],
+    has_content = ~tx.blank(F.col("text"))
+    if "asset_paths" in blocks.columns:
+        has_content = has_content | (F.coalesce(F.size(F.map_keys("asset_paths")), F.lit(0)) > 0)
+    kept = blocks.withColumn("text", F.coalesce("text", F.lit(""))).filter(has_content)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        numbers, number, total = [], 0, 0
+        for at, n in enumerate(pdf["size"]):
+            if at and total > threshold:
+                number, total = number + 1, 0
+            total += n
+            numbers.append(number)
+        return pd.DataFrame({"file_id": pdf["file_id"], "pos": pdf["pos"], "chunk_no": numbers})
+
+    kinds = {c: blocks.schema[c].dataType.simpleString() for c in ("file_id", "pos")}
+    placed = kept.select("file_id", "pos", size.alias("size")).groupBy("file_id").applyInPandas(
+        fold, f"file_id {kinds['file_id']}, pos {kinds['pos']}, chunk_no long"
     )
-    placed = sizes.select(
-        "file_id", F.explode(F.arrays_zip(F.transform("b", lambda x: x["pos"]).alias("pos"), numbered.alias("no"))).alias("p")
-    ).select("file_id", "p.pos", F.col("p.no").alias("chunk_no"))
-    return blocks.join(placed, ["file_id", "pos"])
+    return kept.join(placed, ["file_id", "pos"])
 
 
 def naive_chunks(blocks: DataFrame, chunk_tokens: int = 512, overlap_percent: int = 0) -> DataFrame:

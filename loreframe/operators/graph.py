@@ -273,6 +273,32 @@ def local_entity_id(job: Column, order: Column, canonical: Column) -> Column:
     )
 
 
+def extraction_request(first_line: str) -> Column:
+    """Request text of a source with title, section_path, page_start, page_end and source_text."""
+    def shown(page):
+        return F.coalesce(F.col(page).cast("string"), F.lit(""))
+
+    pages = F.rtrim(F.concat(F.lit("页码："), shown("page_start"), F.lit("-"), shown("page_end")), F.lit("-"))
+    return F.concat_ws(
+        "\n",
+        F.lit(first_line),
+        tx.labelled("来源标题：", tx.strip("title")),
+        tx.labelled("章节：", F.array_join("section_path", " > ")),
+        F.when(F.col("page_start").isNotNull() | F.col("page_end").isNotNull(), pages),
+        F.lit(""),
+        F.lit("来源文本："),
+        F.coalesce("source_text", F.lit("")),
+    )
+
+
+def resolution_requests(entities: DataFrame, lines: list[str]) -> DataFrame:
+    """(job_id, chunk_order, prompt): the document's entities by local id, five fields each, as JSON."""
+    fields = F.struct("aliases", "description", "entity_type", F.col("local_id").alias("local_entity_id"), "name")
+    listed = F.sort_array(F.collect_list(F.struct("local_id", fields.alias("e"))))
+    gathered = entities.groupBy("job_id", "chunk_order").agg(F.transform(listed, lambda x: x["e"]).alias("entities"))
+    return gathered.select("job_id", "chunk_order", F.concat_ws("\n", *[F.lit(x) for x in lines], F.to_json("entities")).alias("prompt"))
+
+
 def localise_entities(mapped: DataFrame) -> DataFrame:
     canonical = tx.entity_id(F.col("name"), F.col("entity_type"))
     return mapped.withColumn("canonical_id", canonical).withColumn(

@@ -645,24 +645,26 @@ def kg_extraction_plan(t: Tables) -> DataFrame:
     return documents.unionByName(faqs)
 
 
+# Lines of the request texts.
+EXTRACT_LINE = "请从以下来源文本抽取知识图谱候选。"
+RESOLVE_LINES = [
+    "请只把代表同一现实对象、且 entity_type 完全相同的 local_entity_id 分组。",
+    "未列出的 ID 保持独立；每个 group 至少两个 ID。",
+    "候选实体：",
+]
+
+
 @query(
     "kg_prompts",
-    f"""SELECT id, concat_ws(chr(10), '来源标题：' || file_id || '.md', '章节：' || array_to_string(section_path, ' > '),
-      '页码：' || nullif(pages, ''), '', '来源文本：', source_text) AS prompt FROM (SELECT *, CASE WHEN page_start IS NULL AND page_end IS NULL THEN ''
-      WHEN page_start IS NOT NULL AND page_end IS NOT NULL AND page_start <> page_end THEN page_start || '-' || page_end
-      ELSE CAST(coalesce(page_start, page_end) AS VARCHAR) END AS pages FROM import_chunks) WHERE NOT is_disabled""",
+    f"""SELECT id, concat_ws(chr(10), '{EXTRACT_LINE}', '来源标题：' || file_id || '.md', '章节：' || nullif(array_to_string(section_path, ' > '), ''),
+      CASE WHEN page_start IS NOT NULL OR page_end IS NOT NULL THEN
+        rtrim('页码：' || coalesce(CAST(page_start AS VARCHAR), '') || '-' || coalesce(CAST(page_end AS VARCHAR), ''), '-') END,
+      '', '来源文本：', source_text) AS prompt FROM import_chunks WHERE NOT is_disabled""",
 )
 def kg_prompts(t: Tables) -> DataFrame:
     """Extraction request text per enabled chunk."""
-    pages = tx.page_range(F.col("page_start"), F.col("page_end"))
-    return t.import_chunks.filter(~F.col("is_disabled")).select(
-        "id",
-        F.concat_ws(
-            "\n", F.concat(F.lit("来源标题："), "file_id", F.lit(".md")),
-            F.concat(F.lit("章节："), F.array_join("section_path", " > ")), tx.labelled("页码：", pages),
-            F.lit(""), F.lit("来源文本："), "source_text",
-        ).alias("prompt"),
-    )
+    chunks = t.import_chunks.filter(~F.col("is_disabled")).withColumn("title", F.concat("file_id", F.lit(".md")))
+    return chunks.select("id", kg.extraction_request(EXTRACT_LINE).alias("prompt"))
 
 
 register(
@@ -754,6 +756,17 @@ def kg_localise(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "kg_resolution_prompts",
+    f"""SELECT job_id, chunk_order, '{chr(10).join(RESOLVE_LINES)}' || chr(10) || CAST(to_json(list({{'aliases': aliases, 'description': description,
+      'entity_type': entity_type, 'local_entity_id': local_id, 'name': name}} ORDER BY local_id)) AS VARCHAR) AS prompt
+    FROM local_entities GROUP BY job_id, chunk_order""",
+)
+def kg_resolution_prompts(t: Tables) -> DataFrame:
+    """Resolution request per document: five fields of each of its entities."""
+    return kg.resolution_requests(kg.localise_entities(t.map_entities), RESOLVE_LINES)
+
+
 @query("kg_premerge_entities", "SELECT job_id, name_key, entity_type, entity_id, name, first_chunk, first_offset, support, confidence FROM pre_entities")
 def kg_premerge_entities(t: Tables) -> DataFrame:
     return pre(t)

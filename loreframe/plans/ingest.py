@@ -98,7 +98,20 @@ def delimiter_chunks(t: Tables) -> DataFrame:
     return ch.delimiter_chunks(md_blocks(t), [".", ", "])
 
 
-@query("naive_chunks")
+@query(
+    "naive_chunks",
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS n, length(text) + 1 AS size
+      FROM typed_blocks WHERE {strip('text')} <> ''),
+    f AS (SELECT file_id, n, size AS total, 0 AS chunk_no FROM b WHERE n = 1
+      UNION ALL SELECT b.file_id, b.n, CASE WHEN f.total > 512 THEN b.size ELSE f.total + b.size END, f.chunk_no + CAST(f.total > 512 AS INTEGER)
+      FROM f JOIN b ON b.file_id = f.file_id AND b.n = f.n + 1)
+    SELECT file_id, CAST(chunk_no AS BIGINT) AS chunk_no, {strip("string_agg(text, chr(10) ORDER BY pos)")} AS text,
+      min(page_number) AS page_start, max(page_number) AS page_end,
+      coalesce(array_to_string(list_filter(list_transform(string_split(arg_max(nullif(section_title, ''), pos), '>'), lambda x: trim(x)),
+        lambda x: x <> ''), ' > '), '') AS section,
+      CASE WHEN count(DISTINCT block_type) > 1 THEN 'mixed' ELSE min(block_type) END AS block_type, count(*) AS block_count
+    FROM b JOIN f USING (file_id, n) GROUP BY file_id, chunk_no""",
+)
 def naive_chunks(t: Tables) -> DataFrame:
     return ch.naive_chunks(typed_blocks(t))
 
