@@ -185,11 +185,12 @@ BINDINGS: dict[str, str] = {
       FROM (SELECT doc_id, source, text, unnest(w) AS name, unnest(range(1, len(w) + 1)) AS pos
             FROM map_words)""",
     "map_relations": f"""SELECT 'kgjob_' || source AS job_id, doc_id AS chunk_order,
-      w[1] AS head_name, {TYPES}[length(w[1]) % 6 + 1] AS head_type,
-      ['belongs_to','requires','causes'][doc_id % 3 + 1] AS relation_type,
-      w[2] AS tail_name, {TYPES}[length(w[2]) % 6 + 1] AS tail_type,
-      w[1] || ' - ' || w[2] AS description,
-      0.5::DOUBLE + (doc_id % 5) / 10.0::DOUBLE AS confidence FROM map_words WHERE len(w) >= 2""",
+      w[i] AS head_name, {TYPES}[length(w[i]) % 6 + 1] AS head_type,
+      ['belongs_to','requires','causes'][(doc_id + i - 1) % 3 + 1] AS relation_type,
+      w[i + 1] AS tail_name, {TYPES}[(length(w[i + 1]) + CASE WHEN (doc_id + i - 1) % 13 = 7 THEN 1 ELSE 0 END) % 6 + 1] AS tail_type,
+      w[i] || ' - ' || w[i + 1] AS description,
+      0.5::DOUBLE + (doc_id % 5) / 10.0::DOUBLE AS confidence
+      FROM (SELECT *, unnest(range(1, len(w))) AS i FROM map_words)""",
     "eval_cases": f"""SELECT 'case_' || query_id AS id, query_id, query AS question,
       CASE WHEN query_id % 6 = 5 THEN CAST([] AS VARCHAR[])
            WHEN query_id % 7 = 0 THEN ['src' || (query_id % 20)]

@@ -465,29 +465,35 @@ class Tables:
 
     @cached_property
     def map_relations(self) -> DataFrame:
-        """Map results: one relation between a document's first two entities."""
+        """Map results: each entity of a document related to the next one.
+
+        Some tails have another type than their entity, so that the relation lacks an end.
+        """
         words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0))
         kinds = strings("belongs_to", "requires", "causes")
         types = strings(*ENTITY_TYPES)
-
-        def kind_of(c):
-            return F.element_at(types, (F.length(c) % 6 + 1).cast("int"))
-
+        pairs = F.zip_with(
+            F.slice("w", F.lit(1), F.size("w") - 1),
+            F.filter("w", lambda _, i: i > 0),
+            lambda a, b: F.struct(a.alias("head"), b.alias("tail")),
+        )
+        place = F.col("doc_id") + F.col("i")
         return (
             self.raw("documents")
             .withColumn("w", words)
             .filter(F.size("w") >= 2)
+            .select("doc_id", "source", F.posexplode(pairs).alias("i", "p"))
             .select(
                 F.concat(F.lit("kgjob_"), "source").alias("job_id"),
                 F.col("doc_id").alias("chunk_order"),
-                F.get("w", F.lit(0)).alias("head_name"),
-                kind_of(F.get("w", F.lit(0))).alias("head_type"),
-                F.element_at(kinds, (F.col("doc_id") % 3 + 1).cast("int")).alias("relation_type"),
-                F.get("w", F.lit(1)).alias("tail_name"),
-                kind_of(F.get("w", F.lit(1))).alias("tail_type"),
-                F.concat(F.get("w", F.lit(0)), F.lit(" - "), F.get("w", F.lit(1))).alias(
-                    "description"
-                ),
+                F.col("p.head").alias("head_name"),
+                F.element_at(types, (F.length("p.head") % 6 + 1).cast("int")).alias("head_type"),
+                F.element_at(kinds, (place % 3 + 1).cast("int")).alias("relation_type"),
+                F.col("p.tail").alias("tail_name"),
+                F.element_at(
+                    types, ((F.length("p.tail") + F.when(place % 13 == 7, 1).otherwise(0)) % 6 + 1).cast("int")
+                ).alias("tail_type"),
+                F.concat("p.head", F.lit(" - "), "p.tail").alias("description"),
                 (F.lit(0.5) + (F.col("doc_id") % 5) / 10).alias("confidence"),
             )
         )
