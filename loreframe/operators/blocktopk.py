@@ -1,12 +1,9 @@
 """Exact top-k of many queries against many rows without materialising the pairs.
 
-Each task scores one block of rows against one block of queries with numpy and keeps only its own
-best k per query, so what is shuffled is at most ``k * queries`` rows per task.
-
-* few queries (checked by a bounded probe): the query block travels to every task as a broadcast
-  variable and the rows are never shuffled;
-* more queries: rows and queries are laid out on a grid of (query block, row shard) cells, each of
-  bounded size, and every cell is scored on its own.
+Rows and queries are laid out on a grid of (query block, row shard) cells. A cell has a bounded number of
+queries and, on average, a bounded number of bytes of rows; it is scored with numpy in one task, which
+keeps only its own best k per query. So what is shuffled afterwards is at most ``k * queries`` rows per
+shard. The form is the same for few and many queries or rows.
 """
 
 from __future__ import annotations
@@ -15,10 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from loreframe.session import written
 
-MAX_BROADCAST_QUERIES = 4096
-ROWS_PER_CELL = 50_000
+QUERIES_PER_BLOCK = 2048
+CELL_BYTES = 8 << 20
 _STEP = 2048
 _BITS = 12
 _NO_MATCH = -(1 << 62)
@@ -79,37 +78,19 @@ def block_topk(
     rows: DataFrame,
     make_scorer: MakeScorer,
     k: int,
-    max_broadcast: int = MAX_BROADCAST_QUERIES,
+    per_block: int = QUERIES_PER_BLOCK,
+    cell_bytes: int = CELL_BYTES,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the best ``k`` rows per query.
 
     ``queries`` has ``query_id`` plus what the scorer needs; ``rows`` has ``id``, ``tie`` (a long,
-    greater is better among equal scores; then the smaller id wins) plus what the scorer needs.
+    greater is better among equal scores; then the smaller id wins) plus what the scorer needs. Both are
+    written to the shared folder first, as they are counted and then read.
     """
-    schema = "query_id long, id string, tie long, score double"
-    probe = queries.limit(max_broadcast + 1).toPandas()
-    if len(probe) <= max_broadcast:
-        held = rows.sparkSession.sparkContext.broadcast(probe)
-
-        def score_partition(batches):
-            block = held.value
-            if len(block):
-                yield from _score_rows(batches, make_scorer(block), block["query_id"].to_numpy(), k)
-
-        hits = rows.mapInPandas(score_partition, schema)
-    else:
-        hits = _grid(queries, rows, make_scorer, k, max_broadcast, schema)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("tie"), F.asc("id"))
-    return (
-        hits.withColumn("rank", F.row_number().over(best).cast("long"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "id", "score", "rank")
-    )
-
-
-def _grid(queries, rows, make_scorer, k, per_block, schema):
-    blocks = int(np.ceil(queries.count() / (per_block / 2)))
-    shards = max(1, int(np.ceil(rows.count() / ROWS_PER_CELL)))
+    queries, rows = written(queries, "queries"), written(rows, "rows")
+    blocks = max(1, -(-queries.count() // per_block))
+    total = rows.agg(F.sum(_bytes(rows))).first()[0] or 0
+    shards = max(1, -(-int(total) // cell_bytes))
     q = queries.withColumn(
         "__b", F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks)).cast("int")
     ).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -123,4 +104,25 @@ def _grid(queries, rows, make_scorer, k, per_block, schema):
         ids = query_block["query_id"].to_numpy()
         return next(_score_rows(iter([row_block]), make_scorer(query_block), ids, k), pd.DataFrame())
 
-    return q.groupBy("__b", "__s").cogroup(r.groupBy("__b", "__s")).applyInPandas(score_cell, schema)
+    hits = q.groupBy("__b", "__s").cogroup(r.groupBy("__b", "__s")).applyInPandas(
+        score_cell, "query_id long, id string, tie long, score double"
+    )
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("tie"), F.asc("id"))
+    return (
+        hits.withColumn("rank", F.row_number().over(best).cast("long"))
+        .filter(F.col("rank") <= k)
+        .select("query_id", "id", "score", "rank")
+    )
+
+
+def _bytes(rows: DataFrame) -> Column:
+    """About how many bytes a row takes in a cell."""
+    sizes = []
+    for field in rows.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
+        elif isinstance(field.dataType, T.ArrayType):
+            sizes.append(F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0)) * 8)
+        else:
+            sizes.append(F.lit(8))
+    return sum(sizes, F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows with long texts or sets: a batch for Python is bounded in bytes, not only in rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Adaptive coalescing may give the sides of a union different partition counts; a union that
     # claims one common partitioning then fails, so it must not claim it.
     "spark.sql.unionOutputPartitioning": "false",
@@ -69,3 +69,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so iteration survives a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder; later stages read it instead of redoing it."""
+    path = new_work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ def test_broadcast_and_grid_give_the_same_vectors(spark):
         [(i, [float(x) for x in base[i] + 0.1]) for i in range(30)], "query_id long, query_embedding array<float>"
     )
     a = rt.vector_topk(queries, rows, 4, -1.0).orderBy("query_id", "rank").collect()
-    b = rt.vector_topk(queries, rows.repartition(5), 4, -1.0, max_broadcast=8).orderBy("query_id", "rank").collect()
+    b = rt.vector_topk(queries, rows.repartition(5), 4, -1.0, per_block=8, cell_bytes=2000).orderBy("query_id", "rank").collect()
     assert len(a) == 120 and a == b
     # equal vectors tie; the smaller id wins
     q0 = [r.id for r in a if r.query_id == 0]
@@ -97,7 +97,7 @@ def test_keyword_forms_equal_brute_force(spark):
     want = brute(docs, qs, 5)
     for result in (
         rt.keyword_topk(terms, rows, 5),
-        rt.keyword_topk(terms, rows.repartition(7), 5, max_broadcast=4),
+        rt.keyword_topk(terms, rows.repartition(7), 5, per_block=4, cell_bytes=500),
         rt.keyword_topk_indexed(terms, rows, 5),
     ):
         got = {}
