@@ -3,7 +3,8 @@
 A binary code is cut into segments, and each segment is an index key. Two codes at distance at most
 ``m (r + 1) - 1`` differ by at most ``r`` bits in one of the ``m`` segments. So a query looks up, for
 r = 0, 1, 2, ..., all segment values at distance r of its own, checks the full distance of what it finds,
-and stops once its k-th distance is at most ``m (r + 1) - 1``: nothing unseen can be nearer.
+and stops once its k-th distance is at most ``m (r + 1) - 1``: nothing unseen can be nearer. What is farther
+than the k-th distance so far is left aside where it is found.
 
 Equal codes are one entry of the index with its k smallest ids: no result can use more of them, so the
 result is whole. A pair is taken only at its first nearest segment, hence once.
@@ -13,7 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loreframe.llm.tables import empty_like, written
+from loreframe.llm.tables import empty_like
+from loreframe.session import written
 
 SEGMENT = 16  # bits
 
@@ -44,22 +46,26 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     index = ids.where("i = 1").select("code", F.col("id").alias("least"))
     index = written(index.select("code", "least", F.posexplode("code").alias("segment", "value")), "index")
     asked = written(queries.select("query_id", F.col("code").alias("q")).where("query_id is not null and q is not null").distinct(), "asked")
-    active = asked.select("q").distinct()
+    far = F.lit((1 << 31) - 1)
+    active = asked.select("q", far.alias("kth")).distinct()
     segments = ids.select(F.size("code")).first()
     wanted = min(k, ids.limit(k).count())
     result = empty_like(spark, "q array<int>, id long, distance int, code array<int>")
     r = 0
     while segments is not None and r <= SEGMENT and not active.isEmpty():
         masks = F.expr(f"filter(sequence(0, {(1 << SEGMENT) - 1}), x -> bit_count(x) = {r})")
-        probes = active.select("q", F.posexplode("q").alias("segment", "own")).withColumn("mask", F.explode(masks))
-        probes = probes.select("q", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = active.select("q", "kth", F.posexplode("q").alias("at", "own")).withColumn("mask", F.explode(masks))
+        probes = probes.select("q", "kth", "at", F.col("own").bitwiseXOR(F.col("mask")).alias("asked"))
         apart = F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-        found = (
-            probes.join(index, ["segment", "value"])
-            .withColumn("apart", apart)
-            .where((F.array_min("apart") == r) & (F.array_position("apart", r) == F.col("segment") + 1))
-            .select("q", "code", "least", F.aggregate("apart", F.lit(0), lambda a, b: a + b).alias("distance"))
-        )
+        distance = F.aggregate(apart, F.lit(0), lambda a, b: a + b)
+        found = probes.join(
+            index,
+            (F.col("at") == F.col("segment"))
+            & (F.col("asked") == F.col("value"))
+            & (distance <= F.col("kth"))
+            & (F.array_min(apart) == r)
+            & (F.array_position(apart, r) == F.col("segment") + 1),
+        ).select("q", "code", "least", distance.alias("distance"))
         # a result has its code among the k first codes by (distance, least id)
         near = W.partitionBy("q").orderBy("distance", "least")
         found = found.withColumn("i", F.row_number().over(near)).where(F.col("i") <= k)
@@ -68,9 +74,10 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         both = result.union(found).withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).drop("i")
         result = written(both, "nearest")
         covered = segments[0] * (r + 1) - 1
-        sure = result.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
-        sure = sure.where((F.col("n") >= wanted) & (F.col("kth") <= covered)).select("q")
-        active = written(active.join(sure, "q", "left_anti"), "active")
+        nearest = result.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("last"))
+        kth = F.when(F.col("n") >= wanted, F.col("last")).otherwise(far)
+        seen = active.select("q").join(nearest, "q", "left").select("q", kth.alias("kth"))
+        active = written(seen.where(F.col("kth") > covered), "active")
         r += 1
     rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy("distance", "id"))
     return asked.join(result, "q").select("query_id", rank.alias("rank"), "id", "distance")
