@@ -14,12 +14,11 @@ from loreframe.llm.language_id import held_out, identify, learn
 from loreframe.llm.mixing import mix_sizes
 from loreframe.llm.packing import pack, word_ids
 from loreframe.llm.pii import BASE, find_pii, span_text
-from loreframe.llm.tables import written
 from loreframe.llm.token_counts import piece_counter, token_counts
 from loreframe.llm.topk_hamming import sign_code, top_k
 from loreframe.llm.url_filters import judge_urls
 from loreframe.llm.warc import resolve_revisits
-from loreframe.session import prepare
+from loreframe.session import prepare, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

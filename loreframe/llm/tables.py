@@ -1,17 +1,10 @@
-"""Written intermediate tables and connected components."""
+"""Empty tables and connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loreframe.session import cut_lineage, new_work_path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder; later stages read it instead of redoing it."""
-    path = new_work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from loreframe.session import cut_lineage
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:

@@ -185,7 +185,7 @@ def _count(counter: Callable[[], Callable[[list[str]], list[int]]], limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 22):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 tokens = count(texts)
                 yield pa.RecordBatch.from_arrays(

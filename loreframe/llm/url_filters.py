@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loreframe.llm.tables import written
-from loreframe.session import cut_lineage
+from loreframe.session import cut_lineage, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = "<[aA][ \\t\\r\\n][^>]*?[hH][rR][eE][fF][ ]*=[ ]*[\"']?([^\"' >]*)"
