@@ -44,8 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loreframe.llm.tables import components, empty_like, written
-from loreframe.llm.wordarrays import mix, shingles, slices, sorted_sets, text_bytes, word_hashes
+from loreframe.llm.tables import components, empty_like
+from loreframe.llm.wordarrays import give_back, mix, shingles, slices, sorted_sets, text_bytes, word_hashes
+from loreframe.session import written
 
 LIGHT_SIZES = 32  # sizes up to this one are tried as the boundary
 SHORT_LIST = 32  # lists up to this length are compared pair by pair
@@ -235,6 +236,7 @@ def _match(percent: int):
                 common = int(_in(x, m).sum())
                 match.append(100 * common >= percent * (len(x) + len(m) - common))
             yield batch.select(["m", "x"]).filter(pa.array(match, pa.bool_()))
+            give_back()
 
     return run
 
@@ -255,6 +257,7 @@ def _differences(frequent):
                 [batch.column("m"), batch.column("x"), batch.column("n"), pa.array(total, pa.int64()), _lists(differences)],
                 names=["m", "x", "n", "e", "differences"],
             )
+            give_back()
 
     return run
 
@@ -323,6 +326,7 @@ def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token, times = np.unique(values, return_counts=True)
             usual.append(token[2 * times > len(sets)])
         yield pa.RecordBatch.from_arrays([batch.column("m"), _lists(usual)], names=["m", "m_set"])
+        give_back()
 
 
 def _references(long: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ needs no more scratch space than any other.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +140,21 @@ def sorted_sets(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return values, np.searchsorted(text, np.arange(len(offsets))).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * STRETCH) -> Iterator[pa.RecordBatch]:
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the machine; a worker outlives its task, and its neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = STRETCH) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``limit`` bytes together (one row at least)."""
     sizes = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
@@ -148,3 +164,4 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * STRETCH) -> Iter
         to = min(max(to, at + 1), batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
