@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loreframe.llm.tables import written
 from loreframe.llm.wordarrays import slices
+from loreframe.session import written
 
-CACHED_WORDS = 800_000  # words remembered per task; a full memory is emptied and filled anew
+CACHED_WORDS = 200_000  # words remembered per task; a full memory is emptied and filled anew
 # a run of these after letters is a token run of its own (an apostrophe may join letters)
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -43,8 +43,7 @@ def word_ids(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    letters = Tokenizer.from_file(path)  # for lower-case words that need neither normalising nor splitting
-    letters.normalizer = None
+    letters = Tokenizer(tokenizer.model)  # for lower-case words that need neither normalising nor splitting
     letters.pre_tokenizer = pre_tokenizers.Sequence(
         [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
@@ -119,7 +118,7 @@ def _tokenize(encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 23):
+            for batch in slices(whole, "text", 1 << 21):
                 ids = [np.append(x, np.array(end_id, x.dtype)) for x in encode(batch.column("text"))]
                 counts = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.concatenate([[0], counts.cumsum()])[:-1]
