@@ -18,7 +18,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows with long texts or sets: a batch for Python is bounded in bytes, not only in rows
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Adaptive coalescing may give the sides of a union different partition counts; a union that
     # claims one common partitioning then fails, so it must not claim it.
     "spark.sql.unionOutputPartitioning": "false",
