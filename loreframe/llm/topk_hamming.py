@@ -58,8 +58,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         probes = probes.select("q", "kth", "at", F.col("own").bitwiseXOR(F.col("mask")).alias("asked"))
         apart = F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         distance = F.aggregate(apart, F.lit(0), lambda a, b: a + b)
+        # probes are many more than the planner takes them for, so it must not broadcast them
         found = probes.join(
-            index,
+            index.hint("merge"),
             (F.col("at") == F.col("segment"))
             & (F.col("asked") == F.col("value"))
             & (distance <= F.col("kth"))
