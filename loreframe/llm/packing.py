@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from loreframe.llm.wordarrays import slices
 from loreframe.session import written
 
-CACHED_WORDS = 200_000  # words remembered per task; a full memory is emptied and filled anew
+CACHED_WORDS = 800_000  # words remembered per task; a full memory is emptied and filled anew
 # a run of these after letters is a token run of its own (an apostrophe may join letters)
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -32,13 +32,14 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
 
-def word_ids(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
+def word_ids(path: str, remembered: int | None = None) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
     """Token ids of texts under a tokenizer that drops white space between its words.
 
     White space always ends a token there, so a text's ids are those of its words one after another, and
-    each distinct word is encoded once. Words of plain letters are encoded many in one call; ids that end
+    each distinct word is encoded once while ``remembered`` words (CACHED_WORDS if not given) suffice. Words of plain letters are encoded many in one call; ids that end
     a word tell them apart.
     """
+    remembered = remembered or CACHED_WORDS
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -93,7 +94,7 @@ def word_ids(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
         coded = split.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
+        if len(known) + len(new) > remembered:
             known.clear()
             stems.clear()
             tails.clear()
@@ -114,11 +115,11 @@ def word_ids(path: str) -> Callable[[list[str] | pa.Array], list[np.ndarray]]:
     return encode
 
 
-def _tokenize(encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end_id: int, carried: list[str]):
+def _tokenize(encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end_id: int, carried: list[str], stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = encoder(), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 21):
+            for batch in slices(whole, "text", stretch):
                 ids = [np.append(x, np.array(end_id, x.dtype)) for x in encode(batch.column("text"))]
                 counts = np.array([len(x) for x in ids], np.int64)
                 starts = before + np.concatenate([[0], counts.cumsum()])[:-1]
@@ -179,11 +180,13 @@ def pack(
     end_id: int,
     window: int = 2048,
     with_ids: bool = False,
+    stretch: int = 1 << 23,
 ) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``encoder()`` is called once in each task and gives the function from texts to id arrays. ``end_id``
-    closes each document, so a null or empty text is one piece of length 1. A row is one document, also
+    ``encoder()`` is called once in each task and gives the function from texts to id arrays. ``stretch``
+    is about the bytes of text that it gets at a time. ``end_id`` closes each document, so a null or
+    empty text is one piece of length 1. A row is one document, also
     when its doc_id is null or repeated. Other columns are ignored. Offsets inside a sequence have no
     gaps; all sequences but the last are full. An empty table gives no pieces.
     """
@@ -191,7 +194,7 @@ def pack(
     kind = docs.schema["doc_id"].dataType.simpleString()
     tokens = written(
         docs.select("doc_id", "text").mapInArrow(
-            _tokenize(encoder, end_id, carried),
+            _tokenize(encoder, end_id, carried, stretch),
             f"doc_id {kind}, __part long, __before long, doc_tokens long, __ids binary",
         ),
         "tokens",
