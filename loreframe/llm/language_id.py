@@ -9,6 +9,7 @@ the largest cosine with it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,6 +21,8 @@ from loreframe.llm.wordarrays import mix, slices
 
 UNKNOWN = "und"
 LANGUAGES = 10_000  # a table with more label values than this is not one of languages
+LEAST_ROWS = 20  # labelled rows of a size that make a bound of their own
+BY_CHANCE = 2.5  # standard deviations of the cosine of unlike vectors
 _SHIFT = 21  # bits of a code point
 
 
@@ -120,8 +123,8 @@ def _bundles(dimensions: int, size: int):
     return run
 
 
-def learn(labelled: DataFrame, dimensions: int = 1024, size: int = 3) -> dict[str, np.ndarray]:
-    """Language -> prototype from all rows of ``labelled(text, lang)`` with a language and a letter.
+def profiles(labelled: DataFrame, dimensions: int = 1024, size: int = 3) -> dict[str, np.ndarray]:
+    """Language -> mean bundle of all rows of ``labelled(text, lang)`` with a language and a letter.
 
     What comes to the driver is one vector for each language; more than LANGUAGES values are an error.
     """
@@ -135,58 +138,106 @@ def learn(labelled: DataFrame, dimensions: int = 1024, size: int = 3) -> dict[st
     found = rows.limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    means = {r["lang"]: np.array([x["v"] for x in r["all"]], np.float64) / 2**30 / r["n"] for r in sorted(found)}
+    return {r["lang"]: np.array([x["v"] for x in r["all"]], np.float64) / 2**30 / r["n"] for r in sorted(found)}
+
+
+def centred(means: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Language -> prototype: its mean bundle less the mean of all languages, of length 1."""
     if len(means) > 1:
         centre = sum(means.values()) / len(means)
         means = {k: v - centre for k, v in means.items()}
     return {k: (v / (np.linalg.norm(v) or 1)).astype(np.float32) for k, v in means.items()}
 
 
-def _predict(model, dimensions: int, size: int, carried: list[str]):
+def learn(labelled: DataFrame, dimensions: int = 1024, size: int = 3) -> dict[str, np.ndarray]:
+    """Language -> prototype, see ``profiles`` and ``centred``."""
+    return centred(profiles(labelled, dimensions, size))
+
+
+def _predict(model, dimensions: int, size: int, carried: list[str], plain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prototypes = model.value
         names = sorted(prototypes)
         matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dimensions)
+        means = None
+        if plain is not None:
+            means = np.array([v / (np.linalg.norm(v) or 1) for v in plain.value.values()], np.float32).reshape(-1, dimensions)
         space = Space(dimensions, size)
         for whole in batches:
             for batch in slices(whole, "__text"):
-                best, score = [], []
+                best, score, terms, likeness = [], [], [], []
                 for text in batch.column("__text").to_pylist():
                     codes, counts = ngrams(text or "", size)
+                    terms.append(len(codes))
                     if not len(codes) or not names:
                         best.append(UNKNOWN)
                         score.append(0.0)
+                        likeness.append(0.0)
                         continue
                     vector = space.bundle(codes, counts)
                     cosine = matrix @ vector / (float(np.linalg.norm(vector)) or 1.0)
                     k = int(np.argmax(cosine))
                     best.append(names[k])
                     score.append(min(1.0, max(0.0, (1 + float(cosine[k])) / 2)))
-                columns = [batch.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                    names=[*carried, "lang_pred", "score"],
-                )
+                    if means is not None:
+                        likeness.append(float((means @ vector).max()) / (float(np.linalg.norm(vector)) or 1.0))
+                columns = [*[batch.column(c) for c in carried], pa.array(best, pa.string()), pa.array(score, pa.float64())]
+                names_out = [*carried, "lang_pred", "score"]
+                if means is not None:
+                    columns += [pa.array(terms, pa.int64()), pa.array(likeness, pa.float64())]
+                    names_out += ["n_ngrams", "likeness"]
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
     return run
 
 
 def identify(
-    docs: DataFrame, prototypes: dict[str, np.ndarray], carried: list[str], dimensions: int = 1024, size: int = 3
+    docs: DataFrame,
+    prototypes: dict[str, np.ndarray],
+    carried: list[str],
+    dimensions: int = 1024,
+    size: int = 3,
+    means: dict[str, np.ndarray] | None = None,
 ) -> DataFrame:
     """The ``carried`` columns of ``docs``, ``lang_pred`` and ``score`` ((1 + cosine) / 2) of its ``text``.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text where nothing was
     learned. Of equal cosines the first language by name wins. Only the text is looked at, so repeated rows
     get equal results; other columns are left out.
+
+    With the ``means`` of the languages there are two columns more: ``n_ngrams``, the distinct n-grams of the
+    text, and ``likeness``, its largest cosine with a mean that is not centred. The score tells languages
+    apart; the likeness tells text in any of them, or in several, from what is in none.
     """
     model = docs.sparkSession.sparkContext.broadcast(prototypes)
+    plain = docs.sparkSession.sparkContext.broadcast(means) if means else None
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     return docs.select(*carried, F.col("text").alias("__text")).mapInArrow(
-        _predict(model, dimensions, size, carried), schema + ", lang_pred string, score double"
+        _predict(model, dimensions, size, carried, plain),
+        schema + ", lang_pred string, score double" + (", n_ngrams long, likeness double" if means else ""),
     )
 
 
+def least_likeness(judged: DataFrame, means: dict[str, np.ndarray]) -> Column:
+    """The likeness below which a text of its ``n_ngrams`` is in none of the languages.
+
+    From all labelled rows of ``judged(lang, n_ngrams, likeness)``, by the power of two of the distinct n-grams,
+    as short texts are less like any profile: a quarter of the likeness that nine in ten rows reach. Up to
+    a tenth of mislabelled rows does not move it far. A size with fewer than LEAST_ROWS rows takes the bound of
+    the next smaller one. It is never below what vectors unlike all languages reach by chance.
+    """
+    dimensions = len(next(iter(means.values())))
+    chance = BY_CHANCE / math.sqrt(dimensions)
+    size = F.floor(F.log2(F.col("n_ngrams").cast("double"))).cast("int")
+    known = judged.where("lang is not null and n_ngrams > 0").groupBy(size.alias("size"))
+    found = known.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("likeness", 0.1, 10_000).alias("low")).collect()
+    bound = F.lit(chance)
+    for r in sorted(found):  # one row for each power of two
+        if r["n"] >= LEAST_ROWS:
+            bound = F.when(size >= r["size"], max(chance, r["low"] / 4)).otherwise(bound)
+    return bound
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept out of learning: crc32 of its id as text leaves 2 by 4; never if it is null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -56,6 +57,23 @@ def test_stages_equal_plain_versions(spark, sf):
     assert len(pieces) == plain
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*cp.COLUMNS)
+    rng = random.Random(11)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "αβγδεζηθικλμνξοπρστυφχψω", "語言是人類最重要的交際工具們利用它來互相流"]
+    foreign = [
+        "Η γλώσσα είναι ένα σύστημα σημείων που χρησιμοποιούν οι άνθρωποι για να επικοινωνούν μεταξύ τους " * 8,
+        "Язык это сложная знаковая система которая соотносит понятийное содержание и типовое звучание " * 8,
+        *[" ".join("".join(rng.choice(kind) for _ in range(rng.randint(2, 9))) for _ in range(150)) for kind in letters],
+    ]
+    junk = [(10**6 + i, t, [None, "en"][i % 2], "s1", len(t)) for i, t in enumerate(foreign)]
+    mixed = docs.where("length(text) > 500").orderBy("doc_id").limit(40).collect()
+    both = [(2 * 10**6 + i, a["text"] + " " + b["text"], None, "s1", 1) for i, (a, b) in enumerate(zip(mixed, mixed[1:]))]
+    rows = spark.createDataFrame(junk + both, docs.schema).union(docs)
+    kept = {r["doc_id"] for r in cp.language_id(spark, rows, sf).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()} | {r[0] for r in both}
+
+
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 0
     assert shingle_set("a b", 5) == frozenset([(b"a", b"b")])
