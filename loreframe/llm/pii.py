@@ -3,7 +3,8 @@
 Only SQL functions. A pattern's matches and the pieces between them (the same leftmost matches, by a
 split) give all positions as one running sum of their lengths. Quantifiers that cannot gain by giving
 characters back are possessive, and a mail address starts only where a run of its characters does, so
-matching takes time in proportion to the text.
+matching takes time in proportion to the text. An account number's pattern looks ahead and takes only the
+first four signs; of the run behind them the longest part that ends with a group and passes the checksum counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ PATTERNS = {
     "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
     "card": "[0-9](?:[\\x20-]?+[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
-    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\\x20]?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[\\x20]?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # A text without this cannot match.
@@ -91,6 +92,28 @@ def _confirmed(kind: str, raw: Column) -> Column:
     return F.lit(True)
 
 
+def _account(run: Column) -> Column:
+    """The longest part of a run that ends with one of its groups and is an account number, or null."""
+    groups = F.split(run, " ")
+    parts = F.transform(F.sequence(F.size(groups), F.lit(1)), lambda n: F.array_join(F.slice(groups, 1, n), " "))
+    return F.get(F.filter(parts, lambda p: p.rlike("^[A-Z0-9 ]+$") & _confirmed("iban", p)), 0)
+
+
+def _accounts(found: Column) -> Column:
+    """Account numbers of struct(raw, end), where raw is a run and end that of its first four signs; none overlap."""
+    ends = F.transform(
+        F.transform(found, lambda x: F.struct(_account(x["raw"]).alias("raw"), (x["end"] - 4).alias("start"))),
+        lambda x: F.struct(x["raw"].alias("raw"), (x["start"] + F.length(x["raw"])).cast("int").alias("end")),
+    )
+    return F.aggregate(
+        F.filter(ends, lambda x: x["raw"].isNotNull()),
+        F.array().cast("array<struct<raw:string,end:int>>"),
+        lambda acc, x: F.when(
+            x["end"] - F.length(x["raw"]) < F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)), acc
+        ).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
 def _score(kind: str, around: Column) -> Column:
     near = F.lower(around)
     return (
@@ -125,7 +148,8 @@ def find_pii(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataF
     for kind in KINDS:
         pattern = F.lit(PATTERNS[kind])
         can = F.col("__t").rlike(NEEDS[kind])
-        out = out.withColumn(f"__{kind}_raw", F.when(can, F.regexp_extract_all("__t", pattern, 0)).otherwise(F.array().cast("array<string>")))
+        group = 1 if kind == "iban" else 0
+        out = out.withColumn(f"__{kind}_raw", F.when(can, F.regexp_extract_all("__t", pattern, group)).otherwise(F.array().cast("array<string>")))
     for kind in KINDS:
         raw = F.col(f"__{kind}_raw")
         any_match = F.size(raw) > 0
@@ -134,12 +158,13 @@ def find_pii(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataF
         )
     for kind in KINDS:
         raw, gap = F.col(f"__{kind}_raw"), F.col(f"__{kind}_gap")
-        sizes = F.zip_with(F.slice(gap, 1, F.size(raw)), raw, lambda g, r: F.length(g) + F.length(r))
+        taken = (lambda r: F.lit(4)) if kind == "iban" else F.length
+        sizes = F.zip_with(F.slice(gap, 1, F.size(raw)), raw, partial(lambda size, g, r: F.length(g) + size(r), taken))
         out = out.withColumn(f"__{kind}_end", F.when(F.size(raw) > 0, running_sums(sizes)).otherwise(F.array().cast("array<int>")))
     for kind in KINDS:
         raw, end = F.col(f"__{kind}_raw"), F.col(f"__{kind}_end")
         found = F.zip_with(raw, end, lambda r, e: F.struct(r.alias("raw"), e.alias("end")))
-        found = F.filter(found, partial(_is_confirmed, kind))
+        found = _accounts(found) if kind == "iban" else F.filter(found, partial(_is_confirmed, kind))
         scored = F.transform(found, partial(_span, kind))
         if kind not in BASE:
             scored = F.filter(scored, lambda x: x["score"] >= THRESHOLD)

@@ -224,6 +224,31 @@ def test_added_spans_need_checksum_and_context(spark):
     assert "ssn:7:18" in got[PERSONAL[5]] and got[PERSONAL[5]].count("ssn") == 1
 
 
+ACCOUNTS = {  # text -> account numbers in it
+    "DE89 3704 0044 0532 0130 00 Bitte zahlen": ["DE89 3704 0044 0532 0130 00"],
+    "IBAN DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+    "DE89370400440532013000 A": ["DE89370400440532013000"],
+    "DE89 3704 0044 0532 0130 00 12 EUR": ["DE89 3704 0044 0532 0130 00"],
+    "DE89 3704 0044 0532 0130 00 2024 0815 4711 0001 0002": ["DE89 3704 0044 0532 0130 00"],
+    "é🙂 GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 NO9386011117947": [
+        "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO9386011117947",
+    ],
+    "DE12 3456 GB82WEST12345698765432 X": ["GB82WEST12345698765432"],
+    "MT84MALT011000012345MTLCAST001S": ["MT84MALT011000012345MTLCAST001S"],
+    "DE89370400440532013000a DE89370400440532013000AB xDE89370400440532013000 DE88 3704 0044 0532 0130 00": [],
+    "AB12 " * 2000 + "DE89 3704 0044 0532 0130 00": ["DE89 3704 0044 0532 0130 00"],
+}
+
+
+def test_account_numbers_before_capitals_and_digits(spark):
+    docs = spark.createDataFrame(list(enumerate(ACCOUNTS)), "doc_id long, text string")
+    for r in find_pii(docs).collect():
+        found = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "iban"]
+        assert [r["text"][a:b] for a, b in found] == ACCOUNTS[r["text"]]
+    for r in redact(docs).collect():
+        assert not any(a in r["text"] for a in list(ACCOUNTS.values())[r["doc_id"]])
+
+
 def test_redaction(spark):
     docs = documents(spark, PERSONAL + ODD)
     rows = redact(docs).select("doc_id", "text", "node").collect()
