@@ -391,9 +391,9 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
     The links connect exactly the nodes that matching pairs connect; they need not hold each pair.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts, kind = docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
     described = written(
-        texts.mapInArrow(_describe(size, percent), "doc_id long, node long, n_shingles long, first array<long>"),
+        texts.mapInArrow(_describe(size, percent), f"doc_id {kind}, node long, n_shingles long, first array<long>"),
         "nodes",
     )
     lengths = written(

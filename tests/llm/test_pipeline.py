@@ -74,6 +74,20 @@ def test_language_stage_rejects_what_is_in_no_language(spark, sf):
     assert kept == {r["doc_id"] for r in docs.collect()} | {r[0] for r in both}
 
 
+def test_rows_that_share_a_doc_id_are_compared_by_their_texts(spark, sf):
+    rng = random.Random(12)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    rows = [(7, t, "en", "s1", 1) for t in own[:20]]  # different texts under one id
+    rows += [(-5, own[20], "en", "s1", 1), (3, own[20], "en", "s1", 1), (None, own[20], "en", "s1", 1)]
+    rows += [(None, own[21], None, "s1", 1)] * 5 + [(None, own[22], "en", None, 1), (None, own[22], None, "en", 1)]
+    rows += [(9, own[23], "en", "s1", 1)] * 4 + [(9, own[24], "en", "s1", 1), (10, own[24] + " more", "en", "s1", 1)]
+    rows += [(11, "", "en", "s1", 0)] * 2 + [(None, None, "en", "s1", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, sf).collect())
+    want = Counter([(7, t) for t in own[:20]] + [(-5, own[20]), (None, own[21]), (None, own[22]), (9, own[23]), (9, own[24])])
+    assert got == want + Counter({(11, ""): 2, (None, None): 2})
+
+
 def test_run(spark, sf):
     assert cp.run(spark, sf).count() > 0
     assert shingle_set("a b", 5) == frozenset([(b"a", b"b")])
