@@ -22,7 +22,7 @@ from loreframe.llm.wordarrays import mix, slices
 UNKNOWN = "und"
 LANGUAGES = 10_000  # a table with more label values than this is not one of languages
 LEAST_ROWS = 20  # labelled rows of a size that make a bound of their own
-BY_CHANCE = 2.5  # standard deviations of the cosine of unlike vectors
+BY_CHANCE = 2  # standard deviations of the cosine of unlike vectors
 _SHIFT = 21  # bits of a code point
 
 
