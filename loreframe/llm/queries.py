@@ -8,9 +8,12 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loreframe.llm.best_fit import pack_best_fit
+from loreframe.llm.fill_middle import fill_in_middle, restored
 from loreframe.llm.fingerprints import fingerprint_edits, within_radius
 from loreframe.llm.jaccard_join import near_duplicate_classes
 from loreframe.llm.language_id import held_out, identify, learn
+from loreframe.llm.lexical_search import search
 from loreframe.llm.mixing import mix_sizes
 from loreframe.llm.packing import pack, word_ids
 from loreframe.llm.pii import BASE, find_pii, span_text
@@ -276,3 +279,91 @@ def op10(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin(BASE))
     counts = [F.size(F.filter("spans", partial(lambda k, x: x["kind"] == k, kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@_query(
+    "op11_fill_in_middle",
+    "documents",
+    """
+    WITH drawn AS (
+      SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+             sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    numbers AS (
+      SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM drawn),
+    cuts AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+    parts AS (
+      SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM cuts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                  ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(t) AS restored_sha256 FROM parts""",
+)
+def op11(docs: DataFrame) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text rebuilt from that, by their digests."""
+    made = fill_in_middle(docs)
+    back = restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+RANKED = 10
+
+
+def _two_tables(name: str, first: str, second: str, sql: str):
+    def wrap(fn: Callable[[DataFrame, DataFrame], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            read = prepare(spark).read
+            return fn(*(read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in (first, second)))
+
+        QUERIES[name] = run
+        ORACLES[name] = sql
+        return fn
+
+    return wrap
+
+
+_TERMS = r"""string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@_two_tables(
+    "op12_lexical_search",
+    "documents",
+    "benchmark",
+    f"""
+    WITH doc_terms AS MATERIALIZED (
+      SELECT doc_id, i, term, count(*) AS tf
+      FROM (SELECT doc_id, row_number() OVER () AS i, unnest({_TERMS}) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+    lengths AS MATERIALIZED (SELECT i, CAST(sum(tf) AS BIGINT) AS n FROM doc_terms GROUP BY i),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+                FROM (SELECT term, count(*) AS df FROM doc_terms GROUP BY term), corpus),
+    item_terms AS (
+      SELECT DISTINCT item_id, j, term
+      FROM (SELECT item_id, row_number() OVER () AS j, unnest({_TERMS}) AS term FROM benchmark) WHERE term <> ''),
+    scored AS (
+      SELECT q.item_id, q.j, d.doc_id, d.i,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM item_terms q JOIN doc_terms d USING (term) JOIN weights USING (term) JOIN lengths USING (i), corpus GROUP BY ALL),
+    ranked AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY item_id, j ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {RANKED}""",
+)
+def op12(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    return search(docs, items, RANKED)
+
+
+@_query("op13_best_fit", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents in few sequences of at most 4096 tokens, each document closed by id 1."""
+    return pack_best_fit(docs, word_encoder, end_id=1, window=4096)
