@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loreframe.functions import text as tx
 from loreframe.functions.constants import DOMAIN_WORDS, MAX_TERMS, MIN_SCORE, RRF_K, TOP_K
+from loreframe.operators import vectorcells
 from loreframe.operators.blocktopk import block_topk
-from loreframe.operators.scorers import cosine_scorer, lexical_scorer
+from loreframe.operators.scorers import lexical_scorer
 
 
 # --- terms -------------------------------------------------------------------------------------
@@ -86,15 +87,20 @@ def keyword_terms(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 # --- channels ----------------------------------------------------------------------------------
 
 
-def vector_topk(
-    queries: DataFrame, live: DataFrame, k: int, min_score: float = MIN_SCORE, **kw
-) -> DataFrame:
+def _vector_rows(live: DataFrame) -> DataFrame:
+    return live.filter(F.col("embedding").isNotNull()).select("id", F.lit(0).cast("long").alias("tie"), "embedding")
+
+
+def vector_topk(queries: DataFrame, live: DataFrame, k: int, min_score: float = MIN_SCORE, **kw) -> DataFrame:
     """Exact cosine top-k over live rows."""
-    rows = live.filter(F.col("embedding").isNotNull()).select(
-        "id", F.lit(0).cast("long").alias("tie"), "embedding"
-    )
-    asked = queries.select("query_id", "query_embedding")
-    return block_topk(asked, rows, cosine_scorer(min_score), k, **kw)
+    return vectorcells.exact_topk(queries, _vector_rows(live), k, min_score, **kw)
+
+
+def vector_topk_coded(queries: DataFrame, live: DataFrame, k: int, min_score: float = MIN_SCORE, **kw) -> DataFrame:
+    """Approximate cosine top-k: candidates by coded residuals, exact scores."""
+    rows = _vector_rows(live)
+    candidates = vectorcells.coded_candidates(queries, rows, k, min_score, **kw)
+    return vectorcells.rescored(candidates, queries, rows, k, min_score)
 
 
 def _lexical_queries(terms: DataFrame) -> DataFrame:

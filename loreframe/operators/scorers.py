@@ -1,4 +1,4 @@
-"""Block scorers: cosine over vectors, additive lexical score over texts."""
+"""Block scorer: additive lexical score over texts."""
 
 from __future__ import annotations
 
@@ -15,28 +15,6 @@ except ImportError:  # one pass per pattern instead of one pass for all
     ahocorasick = None
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / norm
-
-
-def cosine_scorer(min_score: float):
-    """Cosine similarity; scores under ``min_score`` do not match."""
-
-    def make(queries: pd.DataFrame):
-        q = _unit(queries["query_embedding"]).T
-
-        def score(rows: pd.DataFrame) -> np.ndarray:
-            s = _unit(rows["embedding"]) @ q
-            return np.where(s >= min_score, s, np.nan)
-
-        return score
-
-    return make
-
-
 class LikePattern:
     """Contains-style LIKE pattern (``%``, ``_``, backslash escapes).
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from loreframe.functions import text as tx
-from loreframe.functions.constants import TOP_K
+from loreframe.functions.constants import MIN_SCORE, TOP_K
 from loreframe.operators import gates, retrieval as rt
 from loreframe.plans.bindings_sql import compact, register, strip
 from loreframe.plans.registry import query
+from loreframe.session import written
 from loreframe.sources.tables import Tables
 
 LIMIT = rt.candidate_limit(TOP_K)
@@ -163,6 +164,39 @@ def vector_topk_lsh(t: Tables) -> DataFrame:
     return rt.vector_topk_lsh(t.queries, live(t), LIMIT)
 
 
+@query("vector_topk_coded")
+def vector_topk_coded(t: Tables) -> DataFrame:
+    return rt.vector_topk_coded(t.queries, live(t), LIMIT)
+
+
+@query(
+    "vector_coded_recall",
+    """SELECT count(*) AS exact_hits, true AS recall_at_least_90_percent, true AS candidates_at_most_5_percent FROM vector_hits""",
+)
+def vector_coded_recall(t: Tables) -> DataFrame:
+    """The coded search measured against the exact one, over all queries and rows."""
+    queries, rows = t.queries, rt._vector_rows(live(t))
+    exact = written(rt.vectorcells.exact_topk(queries, rows, LIMIT, MIN_SCORE).select("query_id", "id"), "exact")
+    candidates = written(rt.vectorcells.coded_candidates(queries, rows, LIMIT, MIN_SCORE), "candidates")
+    approximate = rt.vectorcells.rescored(candidates, queries, rows, LIMIT, MIN_SCORE).select("query_id", "id")
+    found = exact.join(approximate, ["query_id", "id"], "left_semi").agg(F.count(F.lit(1)).alias("found"))
+    wanted = exact.agg(F.count(F.lit(1)).alias("exact_hits"))
+    offered = candidates.agg(F.count(F.lit(1)).alias("offered"))
+    pairs = queries.agg(F.count(F.lit(1)).alias("q")).crossJoin(rows.agg(F.count(F.lit(1)).alias("r")))
+    one = wanted.crossJoin(found).crossJoin(offered).crossJoin(pairs)  # one row of totals each
+    return one.select(
+        "exact_hits",
+        (F.col("found") >= 0.9 * F.col("exact_hits")).alias("recall_at_least_90_percent"),
+        (F.col("offered") <= 0.05 * F.col("q") * F.col("r")).alias("candidates_at_most_5_percent"),
+    )
+
+
+@query("vector_ring_visits")
+def vector_ring_visits(t: Tables) -> DataFrame:
+    """Rings and rows that the exact search reads for each query."""
+    return rt.vectorcells.ring_visits(t.queries, rt._vector_rows(live(t)), LIMIT, MIN_SCORE)
+
+
 @query("keyword_topk", "SELECT query_id, id, round(score, 6) AS score, rank FROM keyword_hits")
 def keyword_topk(t: Tables) -> DataFrame:
     terms = rt.keyword_terms(t.queries, t.retrieval_aliases)

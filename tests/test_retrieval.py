@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loreframe.operators import retrieval as rt
+from loreframe.operators import retrieval as rt, vectorcells
 from loreframe.operators.scorers import LikePattern
 
 
@@ -37,21 +38,73 @@ def test_rerank_fills_up_and_skips_small_sets(spark):
     assert {r.query_id: r.rerank_used for r in rows} == {1: True, 2: False}
 
 
-def test_broadcast_and_grid_give_the_same_vectors(spark):
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(60, 8))
-    rows = spark.createDataFrame(
-        [(f"r{i}", [float(x) for x in base[i % 40]]) for i in range(60)], "id string, embedding array<float>"
+def vector_tables(spark, rows, queries):
+    r = [(f"r{i}", i % 3, None if v is None else [float(x) for x in v]) for i, v in enumerate(rows)]
+    q = [(i, None if v is None else [float(x) for x in v]) for i, v in enumerate(queries)]
+    return (
+        spark.createDataFrame(q, "query_id long, query_embedding array<float>"),
+        spark.createDataFrame(r, "id string, tie long, embedding array<float>"),
     )
-    queries = spark.createDataFrame(
-        [(i, [float(x) for x in base[i] + 0.1]) for i in range(30)], "query_id long, query_embedding array<float>"
+
+
+def brute_vectors(rows, queries, k, least):
+    unit = lambda v: np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float))
+    out = []
+    for qi, q in enumerate(queries):
+        if q is None or not np.any(q):
+            continue
+        scored = [(-round(float(unit(r) @ unit(q)), 9), -(i % 3), f"r{i}") for i, r in enumerate(rows) if r is not None and np.any(r)]
+        best = sorted(x for x in scored if -x[0] >= least)[:k]
+        out += [(qi, x[2], n) for n, x in enumerate(best, 1)]
+    return out
+
+
+def grouped(rng, groups, each, width=16, spread=0.05):
+    centres = rng.normal(size=(groups, width))
+    return [centres[i % groups] + spread * rng.normal(size=width) for i in range(groups * each)]
+
+
+@pytest.mark.parametrize("unit_bytes,per_block", [(8 << 20, 2048), (128 * 20, 7), (128 * 3, 3)])
+@pytest.mark.parametrize("kind,least", [("spread", -1.0), ("groups", 0.35), ("copies", 0.9)])
+def test_vector_cells_equal_brute_force(spark, unit_bytes, per_block, kind, least):
+    rng = np.random.default_rng(5)
+    rows = {
+        "spread": lambda: list(rng.normal(size=(300, 16))),
+        "groups": lambda: grouped(rng, 12, 25),
+        "copies": lambda: grouped(rng, 2, 20) + [np.ones(16)] * 150,  # half of all rows in one place
+    }[kind]() + [None, np.zeros(16)]
+    queries = rows[::11] + [rng.normal(size=16), None, np.zeros(16)]
+    q, r = vector_tables(spark, rows, queries)
+    got = vectorcells.exact_topk(q, r.repartition(4), 6, least, per_block=per_block, unit_bytes=unit_bytes)
+    assert sorted((x.query_id, x.id, x["rank"]) for x in got.collect()) == sorted(
+        (a, b, c) for a, b, c in brute_vectors(rows, queries, 6, least)
     )
-    a = rt.vector_topk(queries, rows, 4, -1.0).orderBy("query_id", "rank").collect()
-    b = rt.vector_topk(queries, rows.repartition(5), 4, -1.0, per_block=8, cell_bytes=2000).orderBy("query_id", "rank").collect()
-    assert len(a) == 120 and a == b
-    # equal vectors tie; the smaller id wins
-    q0 = [r.id for r in a if r.query_id == 0]
-    assert q0.index("r0") < q0.index("r40")
+
+
+def test_groups_leave_most_rings_unread(spark):
+    rows = grouped(np.random.default_rng(2), 40, 50)
+    q, r = vector_tables(spark, rows, rows[::17])
+    seen = vectorcells.ring_visits(q, r, 5, 0.35, unit_bytes=128 * 50).collect()
+    assert len(seen) == len(rows[::17]) and seen[0].rows == 2000 and seen[0].rings > 30
+    assert np.mean([x.rows_read / x.rows for x in seen]) < 0.15
+
+
+def test_coded_search_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(4)
+    for rows in (list(rng.normal(size=(1500, 64))), grouped(rng, 30, 50, 64, 0.6)):
+        q, r = vector_tables(spark, rows, rows[::10])
+        exact = {(x.query_id, x.id) for x in vectorcells.exact_topk(q, r, 5, 0.35).collect()}
+        candidates = vectorcells.coded_candidates(q, r, 5, 0.35, unit_bytes=512 * 200)
+        found = {(x.query_id, x.id): x.score for x in vectorcells.rescored(candidates, q, r, 5, 0.35).collect()}
+        assert len(exact & found.keys()) >= 0.9 * len(exact)
+        assert candidates.count() <= 0.05 * len(rows) * len(rows[::10])
+
+
+def test_no_vectors(spark):
+    q, r = vector_tables(spark, [None, np.zeros(4)], [np.ones(4)])
+    assert vectorcells.exact_topk(q, r, 3, -1.0).collect() == []
+    assert vectorcells.exact_topk(q, r.limit(0), 3, -1.0).collect() == []
+    assert vectorcells.exact_topk(q.limit(0), vector_tables(spark, [np.ones(4)], [])[1], 3, -1.0).collect() == []
 
 
 def lexical(spark, seed=3):
