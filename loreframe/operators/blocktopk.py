@@ -1,10 +1,4 @@
-"""Exact top-k of many queries against many rows without materialising the pairs.
-
-Rows and queries are laid out on a grid of (query block, row shard) cells. A cell has a bounded number of
-queries and, on average, a bounded number of bytes of rows; it is scored with numpy in one task, which
-keeps only its own best k per query. So what is shuffled afterwards is at most ``k * queries`` rows per
-shard. The form is the same for few and many queries or rows.
-"""
+"""Best k rows per query out of numpy scores of a block of rows."""
 
 from __future__ import annotations
 
@@ -12,18 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
-
-from loreframe.session import written
 
 QUERIES_PER_BLOCK = 2048
-CELL_BYTES = 8 << 20
 _STEP = 2048
 _BITS = 12
 _NO_MATCH = -(1 << 62)
 
 Scorer = Callable[[pd.DataFrame], np.ndarray]
-MakeScorer = Callable[[pd.DataFrame], Scorer]
 
 
 def _best(block: pd.DataFrame, scores: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -71,58 +60,3 @@ def _score_rows(
     best = _trim(held, k) if held else pd.DataFrame()
     if len(best):
         yield best
-
-
-def block_topk(
-    queries: DataFrame,
-    rows: DataFrame,
-    make_scorer: MakeScorer,
-    k: int,
-    per_block: int = QUERIES_PER_BLOCK,
-    cell_bytes: int = CELL_BYTES,
-) -> DataFrame:
-    """(query_id, id, score, rank) of the best ``k`` rows per query.
-
-    ``queries`` has ``query_id`` plus what the scorer needs; ``rows`` has ``id``, ``tie`` (a long,
-    greater is better among equal scores; then the smaller id wins) plus what the scorer needs. Both are
-    written to the shared folder first, as they are counted and then read.
-    """
-    queries, rows = written(queries, "queries"), written(rows, "rows")
-    blocks = max(1, -(-queries.count() // per_block))
-    total = rows.agg(F.sum(_bytes(rows))).first()[0] or 0
-    shards = max(1, -(-int(total) // cell_bytes))
-    q = queries.withColumn(
-        "__b", F.pmod(F.xxhash64(F.col("query_id")), F.lit(blocks)).cast("int")
-    ).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    r = rows.withColumn("__s", F.pmod(F.xxhash64(F.col("id")), F.lit(shards)).cast("int")).withColumn(
-        "__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-
-    def score_cell(query_block: pd.DataFrame, row_block: pd.DataFrame) -> pd.DataFrame:
-        if query_block.empty or row_block.empty:
-            return pd.DataFrame()
-        ids = query_block["query_id"].to_numpy()
-        return next(_score_rows(iter([row_block]), make_scorer(query_block), ids, k), pd.DataFrame())
-
-    hits = q.groupBy("__b", "__s").cogroup(r.groupBy("__b", "__s")).applyInPandas(
-        score_cell, "query_id long, id string, tie long, score double"
-    )
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("tie"), F.asc("id"))
-    return (
-        hits.withColumn("rank", F.row_number().over(best).cast("long"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "id", "score", "rank")
-    )
-
-
-def _bytes(rows: DataFrame) -> Column:
-    """About how many bytes a row takes in a cell."""
-    sizes = []
-    for field in rows.schema.fields:
-        if isinstance(field.dataType, T.StringType):
-            sizes.append(F.coalesce(F.octet_length(field.name), F.lit(0)))
-        elif isinstance(field.dataType, T.ArrayType):
-            sizes.append(F.greatest(F.coalesce(F.size(field.name), F.lit(0)), F.lit(0)) * 8)
-        else:
-            sizes.append(F.lit(8))
-    return sum(sizes, F.lit(0)).cast("long")

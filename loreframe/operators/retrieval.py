@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from loreframe.functions import text as tx
 from loreframe.functions.constants import DOMAIN_WORDS, MAX_TERMS, MIN_SCORE, RRF_K, TOP_K
 from loreframe.operators import vectorcells
-from loreframe.operators.blocktopk import block_topk
-from loreframe.operators.scorers import lexical_scorer
+from loreframe.operators.patternsearch import pattern_topk
 
 
 # --- terms -------------------------------------------------------------------------------------
@@ -113,7 +112,7 @@ def _lexical_queries(terms: DataFrame) -> DataFrame:
     )
 
 
-def keyword_topk(terms: DataFrame, live: DataFrame, k: int, **kw) -> DataFrame:
+def keyword_topk(terms: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """Exact additive keyword top-k; one pass over the texts for all queries together."""
     rows = live.select(
         "id",
@@ -122,7 +121,7 @@ def keyword_topk(terms: DataFrame, live: DataFrame, k: int, **kw) -> DataFrame:
         "search_text",
         "content",
     )
-    return block_topk(_lexical_queries(terms), rows, lexical_scorer, k, **kw)
+    return pattern_topk(_lexical_queries(terms), rows, k)
 
 
 def keyword_topk_indexed(terms: DataFrame, live: DataFrame, k: int) -> DataFrame:

@@ -1,18 +1,10 @@
-"""Block scorer: additive lexical score over texts."""
+"""Contains-style LIKE patterns, many in one pass over a text."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
-
-from loreframe.functions.constants import PHRASE_WEIGHTS, TERM_WEIGHTS
-
-try:
-    import ahocorasick
-except ImportError:  # one pass per pattern instead of one pass for all
-    ahocorasick = None
+import ahocorasick
 
 
 class LikePattern:
@@ -58,63 +50,12 @@ class PatternSet:
         self.plain = [(i, p) for i, p in enumerate(patterns) if not re.search(r"[%_\\]", p)]
         self.wild = [(i, LikePattern(p)) for i, p in enumerate(patterns) if re.search(r"[%_\\]", p)]
         self.automaton = None
-        if ahocorasick is not None and self.plain:
+        if self.plain:
             self.automaton = ahocorasick.Automaton()
             for i, p in self.plain:
                 self.automaton.add_word(p, i)
             self.automaton.make_automaton()
 
     def found(self, text: str) -> list[int]:
-        if self.automaton is not None:
-            hits = list({i for _, i in self.automaton.iter(text)})
-        else:
-            hits = [i for i, p in self.plain if p in text]
+        hits = list({i for _, i in self.automaton.iter(text)}) if self.automaton else []
         return hits + [i for i, rx in self.wild if rx.search(text)]
-
-
-def _expand(pairs: list[tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pattern -> query positions as offsets and values."""
-    pairs = sorted(pairs)
-    values = np.array([q for _, q in pairs], dtype=np.int64)
-    counts = np.bincount([p for p, _ in pairs], minlength=size) if pairs else np.zeros(size, int)
-    return np.concatenate([[0], np.cumsum(counts)]), values
-
-
-def lexical_scorer(queries: pd.DataFrame):
-    """Phrase and term weights summed per (row, query); rows that match nothing do not count."""
-    index: dict[str, int] = {}
-    phrase, term = [], []
-    for pos, (text, terms) in enumerate(zip(queries["phrase"], queries["terms"])):
-        phrase.append((index.setdefault(text.lower(), len(index)), pos))
-        for t in terms:
-            term.append((index.setdefault(t.lower(), len(index)), pos))
-    patterns = PatternSet(list(index))
-    maps = [
-        (_expand(phrase, len(index)), PHRASE_WEIGHTS),
-        (_expand(term, len(index)), TERM_WEIGHTS),
-    ]
-    width = len(queries)
-
-    def score(rows: pd.DataFrame) -> np.ndarray:
-        total = np.zeros(len(rows) * width)
-        for field in PHRASE_WEIGHTS:
-            where, which = [], []
-            for r, text in enumerate(rows[field]):
-                found = patterns.found((text or "").lower())
-                where.extend([r] * len(found))
-                which.extend(found)
-            where, which = np.asarray(where, dtype=np.int64), np.asarray(which, dtype=np.int64)
-            if not len(which):
-                continue
-            for (offsets, values), weights in maps:
-                n = offsets[which + 1] - offsets[which]
-                if not n.sum():
-                    continue
-                first = np.repeat(offsets[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                picked = values[first + np.arange(n.sum())]
-                cell = np.repeat(where, n) * width + picked
-                total += np.bincount(cell, minlength=len(total)) * weights[field]
-        total = total.reshape(len(rows), width)
-        return np.where(total > 0, total, np.nan)
-
-    return score

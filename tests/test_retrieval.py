@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loreframe.operators import retrieval as rt, vectorcells
+from loreframe.operators import patternsearch, retrieval as rt, vectorcells
 from loreframe.operators.scorers import LikePattern
 
 
@@ -145,18 +145,35 @@ def brute(docs, qs, k):
     return out
 
 
-def test_keyword_forms_equal_brute_force(spark):
+@pytest.mark.parametrize("block,warm_up,cells", [(16 << 20, 64, 1 << 21), (3000, 2, 50), (1, 1, 7)])
+def test_keyword_forms_equal_brute_force(spark, monkeypatch, block, warm_up, cells):
+    monkeypatch.setattr(patternsearch, "BLOCK_BYTES", block)
+    monkeypatch.setattr(patternsearch, "WARM_UP", warm_up)
+    monkeypatch.setattr(patternsearch, "CELLS", cells)
     docs, rows, qs, terms = lexical(spark)
     want = brute(docs, qs, 5)
-    for result in (
-        rt.keyword_topk(terms, rows, 5),
-        rt.keyword_topk(terms, rows.repartition(7), 5, per_block=4, cell_bytes=500),
-        rt.keyword_topk_indexed(terms, rows, 5),
-    ):
+    forms = [rt.keyword_topk(terms, rows.repartition(7), 5)] if block > 1 else [rt.keyword_topk(terms.limit(5), rows, 5)]
+    if block > 3000:
+        forms.append(rt.keyword_topk_indexed(terms, rows, 5))
+    asked = {r.query_id for r in (terms if block > 1 else terms.limit(5)).collect()}
+    for result in forms:
         got = {}
         for r in result.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
-        assert got == {k: v for k, v in want.items() if v}
+        assert got == {k: v for k, v in want.items() if v and k in asked}
+
+
+def test_bounds_leave_out_rows_without_a_rare_pattern():
+    """Rows that hold only what all rows hold are scored while the heaps fill, then no more."""
+    asked = patternsearch.Asked(np.array([7]), ["all", "rare"], np.array([0, 0]), np.array([0, 1]), np.array([False, False]))
+    scorer = patternsearch.Scorer(asked, np.array([1000, 2]), np.array([18, 18]), np.array([55, 55]), 3)
+    for start in range(0, 1000, 10):
+        rows = [(r, 0) for r in range(10)] + ([(4, 1)] if start in (500, 600) else [])
+        row, pattern = (np.array(x) for x in zip(*rows))
+        ids = [f"r{start + i}" for i in range(10)]
+        scorer.chunk(row, pattern, np.full(len(rows), 6), ids, [1000 - start - i for i in range(10)])
+    assert scorer.scored == 10 + 2
+    assert sorted((e[0], e[2]) for e in scorer.heaps.heaps[0]) == [(18, "r0"), (36, "r504"), (36, "r604")]
 
 
 def test_like_patterns():
