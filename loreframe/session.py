@@ -25,6 +25,7 @@ RUNTIME_SETTINGS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []  # intermediate tables of this process, oldest first
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -75,4 +76,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; later stages read it instead of redoing it."""
     path = new_work_path(df.sparkSession, label)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tables_written() -> int:
+    """How many intermediate tables there are; a mark for ``empty_written``."""
+    return len(_written)
+
+
+def empty_written(spark: SparkSession, since: int, until: int) -> None:
+    """Empty the tables between two marks. Only for tables that no DataFrame still in use reads."""
+    for path in _written[since:until]:
+        spark.range(0).write.mode("overwrite").parquet(path)
