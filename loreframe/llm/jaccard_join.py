@@ -51,6 +51,7 @@ from loreframe.session import written
 LIGHT_SIZES = 32  # sizes up to this one are tried as the boundary
 SHORT_LIST = 32  # lists up to this length are compared pair by pair
 REFERENCE_FROM = 9  # so many members of a longer list make its reference set
+LEADERS = 2  # lists with the same so many first members share their reference set
 BITMAP = 1 << 24  # bits of the filter that keeps unneeded sets from being moved
 BLOCK = 1024  # lists of differences up to this length are compared in one task
 FREQUENT_AT = 24  # a list is frequent from this length on ...
@@ -143,6 +144,18 @@ def _members(size: int, wanted):
     return run
 
 
+def _among(wanted):
+    """The rows whose ``node`` may be one of those asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = wanted.value
+        for batch in batches:
+            bit = batch.column("node").to_numpy() & (BITMAP - 1)
+            yield batch.filter(pa.array((words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return run
+
+
 def _bitmap(nodes: DataFrame) -> np.ndarray:
     """BITMAP bits, with the one of each node set; a prefilter of fixed size, an exact join follows."""
     bit = F.col("node").bitwiseAND(F.lit(BITMAP - 1))
@@ -332,14 +345,19 @@ def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _references(long: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((list, band, m), (m, m_set)): the reference of each long list, from REFERENCE_FROM of its members.
 
-    Lists that came from the same list and have the same of them are taken together under one id ``m``.
-    A difference from m is one that most of these do not have, so the next lists are shorter.
+    Lists that came from the same list and have the same LEADERS first members, by hash, are taken together under
+    one id ``m``: the lists of a group of near copies mostly do, so each of these is compared with few references.
+    A difference from m is one that most of the members it was made from do not have, so the next lists are shorter.
     """
     order = W.partitionBy("list", "band").orderBy(F.xxhash64("node"), "node")
     some = long.withColumn("i", F.row_number().over(order)).where(F.col("i") <= REFERENCE_FROM)
-    some = some.groupBy("list", "band", "parent").agg(F.sort_array(F.collect_list("node")).alias("some"))
-    of = written(some.withColumn("m", F.xxhash64("parent", "some")), "of")
-    members = of.select("m", "some").dropDuplicates(["m"]).select("m", F.explode("some").alias("node"))
+    some = some.groupBy("list", "band", "parent").agg(F.sort_array(F.collect_list(F.struct("i", "node"))).alias("some"))
+    nodes = F.transform("some", lambda x: x["node"])
+    some = some.select("list", "band", "parent", nodes.alias("some"))
+    of = written(some.withColumn("m", F.xxhash64("parent", F.slice("some", 1, LEADERS))), "of")
+    each = of.select("m", F.explode("some").alias("node")).distinct()
+    first = W.partitionBy("m").orderBy(F.xxhash64("node"), "node")
+    members = each.withColumn("i", F.row_number().over(first)).where(F.col("i") <= REFERENCE_FROM).drop("i")
     held = members.join(sets, "node").groupBy("m").agg(F.collect_list("members").alias("sets"))
     return of.select("list", "band", "m"), held.mapInArrow(_usual, "m long, m_set array<long>")
 
@@ -416,15 +434,18 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
     entries = written(entries, "entries").withColumns({"open": F.lit(True), "parent": F.lit(0).cast("long")})
     sets = None
     links = empty_like(spark, "m long, x long")
-    first = described.where("node is not null").select("node", "n_shingles", "first").dropDuplicates(["node"])
-    x_first, m_first = (
-        first.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("first").alias(f"{k}_set")) for k in "xm"
-    )
+    first = described.where("node is not null").select("node", "n_shingles", "first")
     compared = None
     while not entries.isEmpty():
         live = written(_live_members(entries, percent), "live")
         length = F.col("members")
-        pairs = _short_pairs(live.where(length <= SHORT_LIST), percent).join(x_first, "x").join(m_first, "m")
+        pairs = written(_short_pairs(live.where(length <= SHORT_LIST), percent), "short")
+        asked = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("m").alias("node")).union(pairs.select("x"))))
+        known = first.mapInArrow(_among(asked), "node long, n_shingles long, first array<long>").dropDuplicates(["node"])
+        x_first, m_first = (
+            known.select(F.col("node").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("first").alias(f"{k}_set")) for k in "xm"
+        )
+        pairs = pairs.join(x_first, "x").join(m_first, "m")
         pairs = written(pairs.mapInArrow(_possible(percent), "m long, x long"), "pairs")
         long = live.where(length > (SHORT_LIST if compared is None else BLOCK))
         long = long.select("list", "band", "node", "n", "parent")
