@@ -214,12 +214,14 @@ def op8(pages: DataFrame) -> DataFrame:
 
 
 def _propagation_sql(rounds: int, damping: float) -> str:
-    steps = []
+    """Trust t along links and distrust d against them, beside p and q from seeds of 1 at every host."""
+    keep, steps = 1 - damping, []
     for i in range(rounds):
         steps.append(
-            f"""s{i + 1} AS (
-      SELECT s0.host, {1 - damping} * s0.t + {damping} * coalesce(x.t, 0) AS t, {1 - damping} * s0.d + {damping} * coalesce(x.d, 0) AS d
-      FROM s0 LEFT JOIN (SELECT e.dst AS host, sum(s.t * e.a) AS t, sum(s.d * e.b) AS d
+            f"""s{i + 1} AS MATERIALIZED (
+      SELECT s0.host, {keep} * s0.t + {damping} * coalesce(x.t, 0) AS t, {keep} * s0.d + {damping} * coalesce(x.d, 0) AS d,
+             {keep} + {damping} * coalesce(x.p, 0) AS p, {keep} + {damping} * coalesce(x.q, 0) AS q
+      FROM s0 LEFT JOIN (SELECT e.dst AS host, sum(s.t * e.a) AS t, sum(s.d * e.b) AS d, sum(s.p * e.a) AS p, sum(s.q * e.b) AS q
                          FROM s{i} s JOIN steps e ON s.host = e.src GROUP BY 1) x ON x.host = s0.host)"""
         )
     return ",\n".join(steps)
@@ -255,7 +257,7 @@ def _propagation_sql(rounds: int, damping: float) -> str:
       SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS d
       FROM verdicts GROUP BY 1),
     s0 AS MATERIALIZED (
-      SELECT host, coalesce(t, 0) AS t, coalesce(d, 0) AS d
+      SELECT host, coalesce(t, 0) AS t, coalesce(d, 0) AS d, 1.0 AS p, 1.0 AS q
       FROM (SELECT host FROM seeds UNION SELECT src FROM links UNION SELECT dst FROM links) LEFT JOIN seeds USING (host)),
     counted AS MATERIALIZED (
       SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, n FROM links UNION ALL SELECT host, host, 1 FROM s0) GROUP BY 1, 2),
@@ -264,12 +266,12 @@ def _propagation_sql(rounds: int, damping: float) -> str:
         SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS a, 0.0 AS b FROM counted
         UNION ALL SELECT dst, src, 0.0, n / sum(n) OVER (PARTITION BY dst) FROM counted) GROUP BY 1, 2),
     {_propagation_sql(12, 0.85)}
-    SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN d - t > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN round(d / q, 9) > greatest(0.5, round(t / p, 9)) THEN 'block' ELSE 'allow' END) AS verdict
     FROM verdicts v JOIN s12 USING (host)""",
 )
 def op9(pages: DataFrame) -> DataFrame:
     """Verdict on the URL of every page, by rules and where none fits by propagation over host links."""
-    return judge_urls(pages, RULES, damping=0.85, rounds=12, threshold=0.5)
+    return judge_urls(pages, RULES, damping=0.85, rounds=12, least=0.5)
 
 
 @_query("op10_pii", "documents")

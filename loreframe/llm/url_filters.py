@@ -2,8 +2,13 @@
 
 Trust is a personalised PageRank from hosts with allowed pages along links, distrust one from hosts with
 blocked pages against them (who links to a blocked host is suspect). A host's seeds are the shares of its
-pages that rules allow and block; every host also keeps a part of its own score. A host whose distrust
-exceeds its trust by more than the threshold is blocked.
+pages that rules allow and block; every host also keeps a part of its own score.
+
+How much of either reaches a host grows with its links, so both are divided by what would reach it if all hosts
+were full seeds. The quotients, from 0 to 1, are averages of seeds: ``trust`` over the hosts from which walks
+arrive, ``distrust`` over those to which they lead, the host itself included. A host's threshold is its own trust,
+``least`` at the lowest: it is blocked if its distrust is above that. A blocked host does not become better by
+being linked to, and a host is not blocked for a few of many links.
 """
 
 from __future__ import annotations
@@ -50,13 +55,13 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float, rounds: int, every: int = 4) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` steps from ``seeds(host, trust, distrust)``.
+    """(host, trust, distrust) after ``rounds`` steps from ``seeds(host, trust, distrust)``, seeds from 0 to 1.
 
     A walk goes along the links by their number; one more link from each host to itself keeps it going.
     """
     hosts = seeds.select("host").union(links.select("src")).union(links.select("dst")).distinct()
     start = hosts.join(seeds, "host", "left").fillna(0.0, ["trust", "distrust"])
-    start = written(start, "seeds")
+    start = written(start.select("host", "trust", "distrust", F.lit(1.0).alias("trust_most"), F.lit(1.0).alias("distrust_most")), "seeds")
     loops = start.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1).cast("long").alias("n"))
     counted = links.union(loops).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     counted = written(counted, "links")
@@ -67,19 +72,16 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float, rounds: int, e
     )
     back = counted.join(into, "dst").select("dst", "src", F.lit(0.0), F.col("n") / F.col("total"))
     steps = written(ahead.union(back).groupBy("host", "to").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "steps")
+    weights = {"trust": "a", "distrust": "b", "trust_most": "a", "distrust_most": "b"}
     score = start
     for i in range(rounds):
-        sent = score.join(steps, "host").groupBy("to").agg(
-            F.sum(F.col("trust") * F.col("a")).alias("t"), F.sum(F.col("distrust") * F.col("b")).alias("d")
-        )
-        score = start.join(sent.withColumnRenamed("to", "host"), "host", "left").select(
-            "host",
-            ((1 - damping) * F.col("trust") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-            ((1 - damping) * F.col("distrust") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-        )
+        sent = score.join(steps, "host").groupBy("to").agg(*[F.sum(F.col(c) * F.col(w)).alias(f"sent_{c}") for c, w in weights.items()])
+        own = [((1 - damping) * F.col(c) + damping * F.coalesce(f"sent_{c}", F.lit(0.0))).alias(c) for c in weights]
+        first = start.join(sent.withColumnRenamed("to", "host"), "host", "left")
+        score = first.select("host", *own)
         if (i + 1) % every == 0:
             score = cut_lineage(score)
-    return score
+    return score.select("host", *[(F.col(c) / F.col(f"{c}_most")).alias(c) for c in ("trust", "distrust")])
 
 
 def judge_urls(
@@ -87,7 +89,7 @@ def judge_urls(
     rules: list[tuple[str, str, str]],
     damping: float = 0.85,
     rounds: int = 12,
-    threshold: float = 0.5,
+    least: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages(page_id, url, html)``.
 
@@ -104,9 +106,9 @@ def judge_urls(
         F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("distrust"),
     )
     scores = propagate(seeds, host_links(pages), damping, rounds)
-    by_host = scores.select(
-        "host", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow").alias("spread")
-    )
+    # sums of doubles come in any order, so the last digits do not decide
+    distrust, threshold = F.round("distrust", 9), F.greatest(F.lit(least), F.round("trust", 9))
+    by_host = scores.select("host", F.when(distrust > threshold, "block").otherwise("allow").alias("spread"))
     return ruled.join(by_host, "host").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "spread").alias("verdict")
     )

@@ -129,6 +129,44 @@ def test_a_mostly_blocked_host_is_blocked(spark):
     assert verdict[9] == "block" and verdict[10] == "allow"
 
 
+def linked(bad_links):
+    """bad.net has nine blocked pages, eleven links to itself and one page without a rule; other.org links to it."""
+    rows = [(i, f"http://bad.net/es/{i}", '<a href="/x">' * (1 if i else 3)) for i in range(9)]
+    rows += [(9, "http://bad.net/de/", ""), (10, "http://other.org/", '<a href="http://bad.net/es/1">' * bad_links)]
+    return rows + [(11, "http://other.org/2", '<a href="/own">' * 40), (12, "http://a.com/", '<a href="http://bad.net/de/">' * bad_links)]
+
+
+@pytest.mark.parametrize("bad_links", [0, 1, 2, 11])
+def test_links_to_a_blocked_host_do_not_clear_it(spark, bad_links):
+    df = spark.createDataFrame(linked(bad_links), "page_id long, url string, html string")
+    verdict = {r["page_id"]: r["verdict"] for r in judge_urls(df, RULES).collect()}
+    assert verdict[9] == "block" and verdict[10] == verdict[11] == "allow"
+
+
+def test_a_host_that_links_to_nothing_but_blocked_ones_is_blocked(spark):
+    rows = [(i, f"http://{h}.net/es/{i}", "") for i, h in enumerate(["bad"] * 5 + ["worse"] * 5)]
+    rows += [(20, "http://ring.org/", '<a href="http://bad.net/es/1"><a href="//worse.net">' * 30)]
+    verdict = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert verdict[20] == "block"
+
+
+def dense_quotients(n, links, seeds, damping, rounds):
+    """(trust, distrust) of hosts 0 to n - 1 by dense matrices, as quotients by full seeds."""
+    import numpy as np
+
+    m = np.eye(n)
+    for (a, b), c in links.items():
+        m[a, b] += c
+    ahead, back = m / m.sum(1, keepdims=True), m.T / m.T.sum(1, keepdims=True)
+    out = []
+    for walk, seed in zip((ahead, back), seeds):
+        score, most = seed, np.ones(n)
+        for _ in range(rounds):
+            score, most = (1 - damping) * seed + damping * score @ walk, (1 - damping) + damping * most @ walk
+        out.append(score / most)
+    return out
+
+
 def test_propagation_equals_dense_matrices(spark):
     import numpy as np
 
@@ -143,21 +181,38 @@ def test_propagation_equals_dense_matrices(spark):
         0.8,
         9,
     ).collect()
-    m = np.eye(n)
-    for (a, b), c in links.items():
-        m[a, b] += c
     start = np.zeros((2, n))
     for i, (_, t, d) in enumerate(seeds):
         start[:, i] = t, d
-    t, d = start
-    ahead, back = m / m.sum(1, keepdims=True), m.T / m.T.sum(1, keepdims=True)
-    for _ in range(9):
-        t, d = 0.2 * start[0] + 0.8 * t @ ahead, 0.2 * start[1] + 0.8 * d @ back
+    t, d = dense_quotients(n, links, start, 0.8, 9)
     for r in got:
         i = int(r["host"][1:])
         assert (r["trust"], r["distrust"]) == pytest.approx((t[i], d[i]))
 
 
+def test_verdicts_equal_dense_matrices(spark):
+    """Pages of random hosts with links between them; rules fit some pages of some hosts."""
+    import numpy as np
+
+    rng, rows, links = random.Random(20), [], Counter()
+    hosts = [f"h{i}.{rng.choice(['net', 'com', 'org', 'net'])}" for i in range(14)]
+    for i in range(160):
+        a = rng.randrange(14)
+        path, to = rng.choice(["/es/", "/fr/", "/es/", "/"]), [rng.randrange(14) for _ in range(rng.randrange(4))]
+        links.update((a, b) for b in to)
+        rows.append((i, f"http://{hosts[a]}{path}{i}", "".join(f'<a href="http://{hosts[b]}/q">' for b in to)))
+    verdicts = {i: brute_rule(u)[3] for i, u, _ in rows}
+    at = {i: hosts.index(u.split("/")[2]) for i, u, _ in rows}
+    seeds = np.zeros((2, 14))
+    for h in range(14):
+        own = [verdicts[i] for i in at if at[i] == h]
+        seeds[:, h] = [own.count(v) / max(1, len(own)) for v in ("allow", "block")]
+    t, d = dense_quotients(14, links, seeds, 0.85, 12)
+    want = {i: verdicts[i] or ("block" if d[at[i]] > max(0.5, t[at[i]]) else "allow") for i in at}
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert got == want and {want[i] for i in at if verdicts[i] is None} == {"allow", "block"}
+
+
 # The plain base patterns.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
