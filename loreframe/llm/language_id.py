@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loreframe.llm.wordarrays import mix, slices
+from loreframe.llm.wordarrays import give_back, mix, slices
 
 UNKNOWN = "und"
 LANGUAGES = 10_000  # a table with more label values than this is not one of languages
@@ -56,7 +56,7 @@ class Space:
         self.dimensions, self.size, self.remembered = dimensions, size, remembered
         self.letters: dict[int, np.ndarray] = {}
         self.place: dict[int, int] = {}
-        self.table = np.zeros((1024, dimensions), np.int8)
+        self.table = np.zeros((remembered, dimensions), np.int8)  # pages are taken as rows are filled
 
     def letter(self, point: int) -> np.ndarray:
         found = self.letters.get(point)
@@ -80,8 +80,6 @@ class Space:
         if len(self.place) + len(new) > self.remembered:
             self.place.clear()
             new = listed
-        while len(self.place) + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         for c in new:
             at = self.place[c] = len(self.place)
             self.table[at] = self.bind(c)
@@ -98,6 +96,7 @@ def _bundles(dimensions: int, size: int):
     """Per task and language: the sum of its documents' bundles, as one row per stretch of dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier task of this worker has left
         space = Space(dimensions, size)
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -156,6 +155,7 @@ def learn(labelled: DataFrame, dimensions: int = 1024, size: int = 3) -> dict[st
 
 def _predict(model, dimensions: int, size: int, carried: list[str], plain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         prototypes = model.value
         names = sorted(prototypes)
         matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dimensions)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loreframe.llm.wordarrays import slices
+from loreframe.llm.wordarrays import give_back, slices
 from loreframe.session import written
 
 CACHED_WORDS = 800_000  # words remembered per task; a full memory is emptied and filled anew
@@ -117,6 +117,7 @@ def word_ids(path: str, remembered: int | None = None) -> Callable[[list[str] |
 
 def _tokenize(encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]], end_id: int, carried: list[str], stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier task of this worker has left
         encode, part, before = encoder(), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text", stretch):
@@ -170,6 +171,7 @@ def _cut(window: int, carried: list[str], with_ids: bool):
                 arrays.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+            give_back()
 
     return run
 
