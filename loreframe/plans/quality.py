@@ -316,15 +316,32 @@ def doc_dedupe_exact(t: Tables) -> DataFrame:
     return hashed.join(roots, "s").select("doc_id", "root", "copies")
 
 
-@query("doc_dedupe_near")
+@query(
+    "doc_dedupe_near",
+    r"""WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s\x0B\p{Z}]+'), lambda w: w <> '') AS w
+      FROM documents WHERE text IS NOT NULL),
+    sets AS MATERIALIZED (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+      FROM words WHERE len(w) > 0),
+    each AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM sets),
+    alike AS MATERIALIZED (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+    edges AS MATERIALIZED (
+      SELECT a, b FROM alike UNION SELECT b, a FROM alike
+      UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text),
+    reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+    SELECT id AS doc_id, min(other) AS root FROM reach JOIN documents d ON d.doc_id = id AND d.text IS NOT NULL GROUP BY id""",
+)
 def doc_dedupe_near(t: Tables) -> DataFrame:
     docs = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
     # equal texts fold to one representative before any banding
     hashed = docs.withColumn("s", F.sha2("text", 256))
     folded = hashed.groupBy("s").agg(F.min("id").alias("first"))
     kept = docs.join(folded.select(F.col("first").alias("id")), "id", "left_semi")
-    links = dd.shingle_pairs(kept.select("id", F.col("text").alias("body")))
-    roots = dd.components(kept.select("id"), links)
+    _, roots = dd.near_classes(kept.select("id", F.col("text").alias("body")))
     return hashed.select("id", "s").join(folded, "s").join(roots.toDF("first", "root"), "first").select(
         F.col("id").alias("doc_id"), "root"
     )

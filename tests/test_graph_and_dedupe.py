@@ -4,7 +4,9 @@ import json
 import random
 from difflib import SequenceMatcher
 
-from pyspark.sql import Row, functions as F
+import pandas as pd
+import pytest
+from pyspark.sql import Row, functions as F, types as T
 
 from loreframe import scale
 from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md
@@ -155,6 +157,46 @@ def test_components_and_shingles(spark):
     assert (2, 1) in {(r.id, r.anchor) for r in dd.shingle_pairs(docs).collect()}
 
 
+def chains(seed, chain=14, groups=3):
+    """Texts that change a little from one to the next, so that the ends of a chain are unlike."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(groups):
+        words = [f"w{rnd.randrange(1000)}" for _ in range(60)]
+        for _ in range(chain):
+            out.append(" ".join(words))
+            for _ in range(2):
+                words[rnd.randrange(60)] = f"w{rnd.randrange(1000)}"
+    rnd.shuffle(out)
+    return out
+
+
+def brute_classes(texts, threshold=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or {tuple(w)})
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= threshold * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_near_classes_of_one_bucket_equal_all_pairs(spark, monkeypatch):
+    """All texts in one bucket: what the classes lose against all pairs, they lose inside a bucket."""
+    one = F.pandas_udf(lambda s: pd.Series([[7]] * len(s)), T.ArrayType(T.LongType()))
+    monkeypatch.setattr(dd, "band_keys", lambda bands, rows: one)
+    t = chains(1, chain=6, groups=2)
+    docs = spark.createDataFrame(list(enumerate(t)), "id long, body string")
+    _, classes = dd.near_classes(docs)
+    want = brute_classes(t)
+    assert {r.id: r.root for r in classes.collect()} == want
+    assert len(set(want.values())) < len(t) / 2
+
+
 def test_metrics_keep_unlabelled_cases(spark):
     rows = [("s", ["x"], ["a", "x"]), ("s", ["m"], ["a", "b"])]
     df = spark.createDataFrame(rows, "s string, expected_ids array<string>, retrieved_ids array<string>")
