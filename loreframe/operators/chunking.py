@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from loreframe.functions import text as tx
@@ -79,21 +81,25 @@ def naive_groups(
         has_content = has_content | (F.coalesce(F.size(F.map_keys("asset_paths")), F.lit(0)) > 0)
     kept = blocks.withColumn("text", F.coalesce("text", F.lit(""))).filter(has_content)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        numbers, number, total = [], 0, 0
-        for at, n in enumerate(pdf["size"]):
-            if at and total > threshold:
-                number, total = number + 1, 0
-            total += n
-            numbers.append(number)
-        return pd.DataFrame({"file_id": pdf["file_id"], "pos": pdf["pos"], "chunk_no": numbers})
-
-    kinds = {c: blocks.schema[c].dataType.simpleString() for c in ("file_id", "pos")}
-    placed = kept.select("file_id", "pos", size.alias("size")).groupBy("file_id").applyInPandas(
-        fold, f"file_id {kinds['file_id']}, pos {kinds['pos']}, chunk_no long"
-    )
-    return kept.join(placed, ["file_id", "pos"])
+    names = kept.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, chunk, total = object(), 0, 0
+        for batch in batches:
+            numbers = []
+            for own, n in zip(batch.column("file_id").to_pylist(), batch.column("__size").to_pylist()):
+                if own != file:
+                    file, chunk, total = own, 0, 0
+                elif total > threshold:
+                    chunk, total = chunk + 1, 0
+                total += n
+                numbers.append(chunk)
+            rest = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(numbers, pa.int64())], names=[*names, "chunk_no"])
+
+    # one exchange with the texts; a file's blocks follow one another, many files share a batch
+    ordered = kept.withColumn("__size", size).repartition("file_id").sortWithinPartitions("file_id", "pos")
+    return ordered.mapInArrow(number, T.StructType(kept.schema.fields + [T.StructField("chunk_no", T.LongType())]))
 
 
 def naive_chunks(blocks: DataFrame, chunk_tokens: int = 512, overlap_percent: int = 0) -> DataFrame:
