@@ -122,6 +122,22 @@ def naive_chunks(blocks: DataFrame, chunk_tokens: int = 512, overlap_percent: in
     return chunks.groupBy("file_id").applyInPandas(carry, chunks.schema)
 
 
+def source_offsets(grouped: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, position_tags, pdf_positions) of the chunks with a position tag, to trace them to their pages.
+
+    ``grouped`` is blocks with a chunk number and ``position_tag``. Tags are listed in the order of the blocks, repeats
+    included; positions [page, left, right, top, bottom] once each, where they come first.
+    """
+    tagged = grouped.where(~tx.blank(F.col("position_tag"))).select(*keys, "pos", "position_tag")
+    listed = F.sort_array(F.collect_list(F.struct("pos", "position_tag")))
+    tags = tagged.groupBy(*keys).agg(F.transform(listed, lambda x: x["position_tag"]).alias("position_tags"))
+    each = tagged.select(*keys, "pos", F.posexplode(pdf_positions(F.col("position_tag"))).alias("nth", "position"))
+    first = each.groupBy(*keys, "position").agg(F.min(F.struct("pos", "nth")).alias("first"))
+    distinct = F.sort_array(F.collect_list(F.struct("first", "position")))
+    positions = first.groupBy(*keys).agg(F.transform(distinct, lambda x: x["position"]).alias("pdf_positions"))
+    return tags.join(positions, keys, "left")
+
+
 def delimiter_chunks(blocks: DataFrame, delimiters: list[str]) -> DataFrame:
     """Every piece between custom delimiters is a chunk of its own."""
     pattern = "|".join(re.escape(d) for d in sorted(set(delimiters), key=lambda d: (-len(d), d)))

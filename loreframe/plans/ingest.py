@@ -278,6 +278,16 @@ def pdf_positions(t: Tables) -> DataFrame:
     return tagged.select("file_id", "pos", *[F.get(at, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+@query("chunk_source_offsets")
+def chunk_source_offsets(t: Tables) -> DataFrame:
+    """Position tags and distinct positions of the merged chunks of layout payloads."""
+    grouped = ch.naive_groups(bl.layout_blocks(layout_payloads(t)))
+    found = ch.source_offsets(grouped, ["file_id", "chunk_no"])
+    return found.select(
+        "file_id", "chunk_no", F.array_join("position_tags", "|").alias("position_tags"), F.to_json("pdf_positions").alias("pdf_positions")
+    )
+
+
 def kb_source(t: Tables) -> DataFrame:
     b = bl.html_blocks(t.raw("pages").select("page_id", "html"))
     return b.select(

@@ -244,3 +244,19 @@ def test_nested_payloads(spark):
         (2, "text", "p9", 2, {}),
     ]
     assert {r.section for r in rows if r.file_id == 1} == {"One"}
+
+
+def test_source_offsets_of_chunks(spark):
+    def tag(page, *box):
+        return f"@@{page}\t" + "\t".join(f"{x:.1f}" for x in box) + "##"
+
+    a, b, c = tag(1, 0, 9, 2, 3), tag(2, 5, 1, 8, 7), tag(3, 1, 2, 3, 4)
+    rows = [
+        ("f", 0, 0, a), ("f", 0, 1, b + a), ("f", 0, 2, a), ("f", 0, 3, None), ("f", 1, 4, " "), ("f", 1, 5, None), ("g", 0, 10, c), ("g", 0, 9, "no tag"),
+    ]
+    df = spark.createDataFrame(rows, "file_id string, chunk_no long, pos long, position_tag string").repartition(3)
+    got = {(r.file_id, r.chunk_no): (r.position_tags, r.pdf_positions) for r in ch.source_offsets(df, ["file_id", "chunk_no"]).collect()}
+    assert got == {
+        ("f", 0): ([a, b + a, a], [[1.0, 0.0, 9.0, 2.0, 3.0], [2.0, 1.0, 5.0, 7.0, 8.0]]),
+        ("g", 0): (["no tag", c], [[3.0, 1.0, 2.0, 3.0, 4.0]]),
+    }
