@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreframe.llm.best_fit import pack_best_fit
 from loreframe.llm.fill_middle import fill_in_middle, restored
-from loreframe.llm.fingerprints import fingerprint_edits, within_radius
+from loreframe.llm.fingerprints import fingerprint_edits, near_classes
 from loreframe.llm.jaccard_join import near_duplicate_classes
 from loreframe.llm.language_id import held_out, identify, learn
 from loreframe.llm.lexical_search import search
@@ -114,12 +114,9 @@ def op6(docs: DataFrame) -> DataFrame:
 
 @_query("op7_fingerprints", "documents")
 def op7(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and its edited text; how many others are within 3 of 256 bits."""
+    """Fingerprints of every document and its edited text; the class of near copies and how many others are in it."""
     marks = written(fingerprint_edits(docs), "fingerprints")
-    pairs = within_radius(marks, radius=3)
-    ends = pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b"))
-    near = ends.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_near"))
-    return marks.join(near, "fingerprint", "left").fillna(0, ["n_near"])
+    return marks.join(near_classes(marks.select("doc_id", "fingerprint"), similarity=0.9), "fingerprint")
 
 
 def captures(pages: DataFrame) -> DataFrame:

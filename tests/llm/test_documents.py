@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreframe.llm import jaccard_join, mixing, queries
-from loreframe.llm.fingerprints import BITS, edited_text, fingerprint_edits, within_radius
+from loreframe.llm.fingerprints import BITS, edited_text, fingerprint_edits, near_classes, radius_for, within_radius
 from loreframe.llm.jaccard_join import near_duplicate_classes
 from loreframe.llm.language_id import held_out, identify, learn
 from loreframe.llm.mixing import mix_sizes, mix_sources, word_count
@@ -205,6 +205,24 @@ def test_word_count(spark):
         assert r["n"] == len(words(r["text"]))
 
 
+def plain_simhash(terms):
+    """Votes and signs by the definition, for the terms' hashes with repeats."""
+    step = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & step
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & step
+        return x ^ (x >> 31)
+
+    salts = [mixed(((k + 1) * 0x9E3779B97F4A7C15) & step) for k in range(BITS // 64)]
+    votes = [0] * BITS
+    for term, count in Counter(terms).items():
+        bits = b"".join(mixed((term + salt) & step).to_bytes(8, "little") for salt in salts)
+        for k in range(BITS):
+            votes[k] += count.bit_length() * (1 if bits[k // 8] >> (7 - k % 8) & 1 else -1)
+    return sum((v >= 0) << (BITS - 1 - k) for k, v in enumerate(votes)).to_bytes(BITS // 8, "big")
+
+
 def brute_fingerprint(text):
     """By the definition, with the hash of every term taken from the module's own arrays."""
     import pyarrow as pa
@@ -254,3 +272,84 @@ def test_all_fingerprints_within_the_radius(spark):
     got = {(r["a"], r["b"]): r["distance"] for r in within_radius(df, 3).collect()}
     apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
     assert got == {(a, b): apart(a, b) for a in marks for b in marks if a < b and apart(a, b) <= 3}
+
+
+def apart(a, b):
+    return (int(a, 16) ^ int(b, 16)).bit_count()
+
+
+def classes_of(rows, radius):
+    """Smallest id and number of others of every row's class, from all pairs."""
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, a) in enumerate(rows):
+        for j in range(i):
+            if apart(a, rows[j][1]) <= radius:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(doc_id)
+    return {m: (min(g), len(g) - 1) for g in groups.values() for m in g}
+
+
+@pytest.mark.parametrize("full,sampled", [(1 << 16, 64), (4, 1)])
+def test_near_classes_of_chains(spark, monkeypatch, full, sampled):
+    """Chains whose ends are far apart, hubs and copies; with small buckets all are split and joined again."""
+    monkeypatch.setattr("loreframe.llm.fingerprints.FULL_BUCKET", full)
+    monkeypatch.setattr("loreframe.llm.fingerprints.SAMPLED", sampled)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(6):
+        x = rng.getrandbits(BITS)
+        for step in range(14):
+            rows.append((len(rows), f"{x:064x}"))
+            for k in rng.sample(range(BITS), 14):  # neighbours within the radius, ends far beyond it
+                x ^= 1 << k
+        rows.append((len(rows), rows[-1][1]))
+    rows += [(len(rows) + k, f"{rng.getrandbits(BITS):064x}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = df.join(near_classes(df, 0.9), "fingerprint").collect()
+    assert {r["doc_id"]: (r["near_class"], r["n_near"]) for r in got} == classes_of(rows, radius_for(0.9))
+
+
+def test_near_copies_are_found_by_their_texts(spark):
+    """Recall of pairs of Jaccard 0.9 or more, on edited texts; clean texts stay alone."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(150):
+        text = [rng.choice("abcdefghij") + str(rng.randrange(900)) for _ in range(300)]
+        edit = list(text)
+        for at in rng.sample(range(300), 3):  # 15 of 296 shingles at most: a Jaccard similarity of 0.9 or more
+            edit[at] = "changed"
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edit))]
+    marks = fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), 4).select("doc_id", "fingerprint")
+    marks = spark.createDataFrame(marks.collect(), marks.schema)
+    got = {r["doc_id"]: r for r in marks.join(near_classes(marks, 0.9), "fingerprint").collect()}
+    assert sum(got[k + 1]["near_class"] == k for k in range(0, 300, 2)) >= 0.9 * 150
+    assert all(got[k]["near_class"] // 2 == k // 2 and got[k]["n_near"] <= 1 for k in got)
+
+
+def test_near_classes_cases(spark):
+    kind = "doc_id long, fingerprint string"
+    assert near_classes(spark.createDataFrame([], kind)).collect() == []
+    f = "0f" * 32
+    rows = [(None, f), (5, f), (5, f), (None, "f0" * 32), (1, None)]
+    got = near_classes(spark.createDataFrame(rows, kind)).collect()
+    assert {(r["fingerprint"], r["near_class"], r["n_near"]) for r in got} == {(f, 5, 2), ("f0" * 32, None, 0)}
+
+
+def test_votes_and_weights(spark):
+    import pyarrow as pa
+
+    from loreframe.llm.fingerprints import fingerprints
+    from loreframe.llm.wordarrays import shingles, text_bytes, word_hashes
+
+    texts = ["a b c d e f g", "one", "", "x y " * 40, " ".join(str(k % 50) for k in range(400))]
+    hashes, offsets = shingles(*word_hashes(*text_bytes(pa.array(texts))), 5)
+    plain = [plain_simhash([int(h) for h in hashes[a:b]]) for a, b in zip(offsets[:-1], offsets[1:])]
+    assert fingerprints(pa.array(texts)) == plain
