@@ -17,6 +17,7 @@ SAMPLE = [
     "dq_checks", "kg_reconcile", "kg_subgraph", "kg_fusion", "kg_manifest", "kg_reduce_relations", "kg_merge_rules",
     "markdown_blocks", "manual_chunks", "qa_chunks", "table_chunks", "chat_chunks_gap", "eval_diagnostics",
     "dedupe_exact", "parse_questions", "stream_hit_rate", "stream_dedupe", "stream_sessions",
+    "kg_snapshot_owners", "kg_snapshot_evidence", "file_reparse_tables", "file_reparse_owners",
 ]
 NAMES = list(SQL) if os.environ.get("ORACLE_ALL") else SAMPLE
 
