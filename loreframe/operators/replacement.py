@@ -11,6 +11,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loreframe.session import written
+
 ENTITY_FIELDS = ["name", "entity_type", "aliases", "description", "status", "confidence"]
 RELATION_KEYS = ["head_entity_id", "relation_type", "tail_entity_id"]
 RELATION_FIELDS = ["description", "status", "confidence"]
@@ -36,6 +38,8 @@ def replace_snapshot(old: Graph, scope: DataFrame, found: Graph, live: Live, at:
 
     ``live`` keeps the live rows of an evidence table. Null scope keys match nothing; of found rows with one
     id the smallest is taken; columns of the old tables that found rows lack are null in inserted rows.
+
+    The merged evidence and the ids of touched owners are written once, as each is read several times.
     """
     keys = scope.columns
     scoped = old.evidence.join(scope.distinct(), keys, "left_semi")
@@ -43,13 +47,15 @@ def replace_snapshot(old: Graph, scope: DataFrame, found: Graph, live: Live, at:
     pieces = found.evidence.groupBy("id").agg(F.min(F.struct(*[c for c in found.evidence.columns if c != "id"])).alias("__one"))
     new = pieces.select("id", "__one.*").join(kept.select("id"), "id", "left_anti")
     evidence = kept.unionByName(new, allowMissingColumns=True).select(*old.evidence.columns)
+    evidence = written(evidence, "snapshot_evidence")
 
     had = scoped.select(F.col("entity_id").alias("id")).where("id is not null")
-    entity_ids = had.union(found.entities.select("id")).distinct()
+    entity_ids = written(had.union(found.entities.select("id")).distinct(), "touched_entities")
     ends = old.relations.select("id", F.explode(F.array("head_entity_id", "tail_entity_id")).alias("end"))
     incident = ends.join(entity_ids.withColumnRenamed("id", "end"), "end", "left_semi").select("id")
     direct = scoped.select(F.col("relation_id").alias("id")).where("id is not null")
     relation_ids = direct.union(incident).union(found.relations.select("id")).distinct()
+    relation_ids = written(relation_ids, "touched_relations")
 
     source = F.struct("source_type", "source_id", F.coalesce("source_chunk_id", F.lit("")))
     entities = _merged(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from loreframe.operators import gates, replacement as rp
 from loreframe.plans.bindings_sql import register
 from loreframe.plans.registry import query
+from loreframe.session import written
 from loreframe.sources.tables import Tables, now
 
 # The files whose id ends in 3 are extracted anew. Of their evidence every second piece is found again, its
@@ -50,6 +51,7 @@ def snapshot(t: Tables) -> rp.Graph:
     )
     relations = t.kg_relations.join(again.select(F.col("relation_id").alias("id")), "id", "left_semi")
     relations = relations.withColumns({"description": F.lit("again"), "status": F.lit("needs_review"), "confidence": F.lit(0.25)})
+    relations = written(relations, "found_relations")
     ends = relations.select(F.explode(F.array("head_entity_id", "tail_entity_id")).alias("id"))
     review = {"description": F.lit("again"), "status": F.lit("needs_review"), "confidence": F.lit(0.25)}
     known = t.kg_entities.join(ends, "id", "left_semi").withColumns(review).select("id", *rp.ENTITY_FIELDS)
