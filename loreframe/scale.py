@@ -88,6 +88,39 @@ def previous_value(
     )
 
 
+def position_and_previous(
+    df: DataFrame,
+    group: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    value: Column,
+    position: str,
+    previous: str,
+) -> DataFrame:
+    """``dense_position`` and ``previous_value`` with one sort of the rows and one join."""
+    keyed = df.withColumn(BUCKET, bucket).withColumn("__v", value)
+    here = W.partitionBy(*group, BUCKET).orderBy(*order)
+    local = keyed.withColumn("__at", F.row_number().over(here).cast("long")).withColumn(previous, F.lag("__v").over(here))
+    per_bucket = keyed.groupBy(*group, BUCKET).agg(
+        F.count(F.lit(1)).alias("__n"), F.max_by("__v", F.struct(*order)).alias("__tail")
+    )
+    buckets = W.partitionBy(*group).orderBy(BUCKET)
+    carried = per_bucket.select(
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+        F.col(BUCKET).alias("__b"),
+        F.coalesce(F.sum("__n").over(buckets.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        F.lag("__tail").over(buckets).alias("__carried"),
+    )
+    match = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    match.append(F.col(BUCKET).eqNullSafe(F.col("__b")))
+    return (
+        local.join(carried, match, "inner")
+        .withColumn(previous, F.when(F.col("__at") == 1, F.col("__carried")).otherwise(F.col(previous)))
+        .withColumn(position, F.col("__at") + F.col("__offset"))
+        .drop(*[f"__g{i}" for i in range(len(group))], "__b", "__offset", "__carried", "__at", "__v", BUCKET)
+    )
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Row with the greatest ``order`` per key, by a combinable aggregate instead of a window."""
     row = F.struct(*[F.col(c) for c in df.columns])

@@ -196,6 +196,23 @@ def test_caps_equal_a_plain_fold(spark):
         assert got == want
 
 
+def test_chunks_of_channels_without_a_name_and_of_none(spark):
+    """Messages without a channel are one channel, over several blocks; extra columns stay; no rows give no rows."""
+    rows, _ = messages(spark, 120)
+    rows = [(None if c == 1 else c, *rest, "kept") for c, *rest in rows]
+    df = spark.createDataFrame(rows, CHAT + ", extra string")
+    got = {r.pos: (r.part, r.extra) for r in chat.chunk_parts(df, None, 7, 4, 10_000, 8).collect()}
+    state, want = {}, {}
+    for c, pos, at, *_ in rows:
+        n, part, first = state.get(c, (0, 0, None))
+        if n == 0 or n >= 4 or (at.date() - first).days >= 7:
+            n, part, first = 0, part + 1, at.date()
+        state[c] = (n + 1, part, first)
+        want[pos] = (part, "kept")
+    assert got == want
+    assert chat.chunk_parts(df.limit(0), 30).count() == 0
+
+
 def test_chunks_restart_their_window_at_a_cap(spark, monkeypatch):
     rows, df = messages(spark, 500)
     monkeypatch.setattr(chat._chain, "__defaults__", (3,))  # several levels of runs
