@@ -78,6 +78,55 @@ def run_batches(
     return spark.read.option("basePath", out).parquet(out)
 
 
+def run_folded(
+    stream: DataFrame,
+    label: str,
+    reduce: Callable[[DataFrame], DataFrame],
+    merge: Callable[[DataFrame], DataFrame],
+    every: int = 8,
+    out: str | None = None,
+) -> DataFrame:
+    """``merge`` of all reduced batches, without state between batches.
+
+    Each batch is reduced and written under its number. Every ``every`` batches, the table merged last and
+    the batches since become one merged table, so a read takes one merged table and fewer than ``every``
+    batches, however long the stream has run. What a merged table replaces is emptied one merge later: until
+    then a replayed batch, which overwrites itself and the merged table it closes, finds its inputs.
+    ``out`` is the folder of a run to go on with. An empty stream gives ``merge`` of no rows.
+    """
+    spark = stream.sparkSession
+    fresh, out, done = out is None, out or new_work_path(spark, label), []
+
+    def paths(last: int) -> list[str]:
+        base = (last + 1) // every * every - 1
+        merged = [f"{out}/merged/{base}"] if base >= 0 else []
+        return merged + [f"{out}/batches/{n}" for n in range(base + 1, last + 1)]
+
+    def write(batch: DataFrame, number: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/batches/{number}")
+        if (number + 1) % every == 0:
+            inputs = [*paths(number - 1), f"{out}/batches/{number}"]
+            merge(spark.read.parquet(*inputs)).write.mode("overwrite").parquet(f"{out}/merged/{number}")
+            replaced = [f"{out}/batches/{n}" for n in range(number - 2 * every + 1, number - every + 1) if n >= 0]
+            if number >= 2 * every:
+                replaced.append(f"{out}/merged/{number - 2 * every}")
+            for path in replaced:
+                spark.range(0).write.mode("overwrite").parquet(path)
+        spark.range(number, number + 1, 1, 1).write.mode("overwrite").parquet(f"{out}/last")
+        done.append(number)
+
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{out}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    if fresh and not done:
+        return merge(reduce(spark.createDataFrame([], stream.schema)))
+    return merge(spark.read.parquet(*paths(spark.read.parquet(f"{out}/last").first()["id"])))
+
+
 def newest(written: DataFrame, keys: list[str]) -> DataFrame:
     """Latest written state per key."""
     return latest_per_key(written, keys, [F.col("batch")]).drop("batch")
@@ -139,26 +188,40 @@ def sessions(stream: DataFrame, gap: Column | str, delay: str = "3 days") -> Dat
 
 
 def latest_state(stream: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Latest row per key from a change stream: reduced per batch, merged on read."""
-    written = run_batches(stream, "latest", lambda b: latest_per_key(b, keys, order), mode="append")
-    return latest_per_key(written, keys, order).drop("batch")
+    """Latest row per key from a change stream: reduced per batch, merged in spans of batches."""
+    def latest(rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, keys, order)
+
+    return run_folded(stream, "latest", latest, latest)
 
 
 def index_rows(stream: DataFrame, text: str) -> DataFrame:
-    """Changed rows through the embedder, newest vector per id."""
+    """Changed rows through the embedder, newest vector per id, in whatever order changes arrive."""
     def embed(batch: DataFrame) -> DataFrame:
         current = latest_per_key(batch, ["id"], [F.col("updated_at")])
         return models.embed_rows(current, text).join(current.select("id", "updated_at"), "id")
 
-    return newest(run_batches(stream, "index", embed, mode="append"), ["id"])
+    return run_folded(stream, "index", embed, lambda rows: latest_per_key(rows, ["id"], [F.col("updated_at")]))
 
 
 def top_counts(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Running counts per query text and per referenced chunk, newest value per key."""
+    """Counts per query text and per referenced chunk; parts of batches add up, so no state is kept."""
     events = query_events(stream)
-    texts = run_batches(an.top_queries_agg(events), "top-queries")
-    chunks = run_batches(an.top_chunks_agg(events), "top-chunks")
-    return newest(texts, ["query"]), newest(chunks, ["chunk_id"])
+
+    def texts_of(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(an.query_key(F.col("query")).alias("query")).agg(
+            F.count(F.lit(1)).alias("count"), F.max("created_at").alias("last_seen"), F.count_if(F.col("hit_count") > 0).alias("hits")
+        )
+
+    def add_texts(parts: DataFrame) -> DataFrame:
+        sums = [F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hits")]
+        return parts.groupBy("query").agg(*sums)
+
+    texts = run_folded(events, "top-queries", texts_of, add_texts)
+    chunks = run_folded(
+        events, "top-chunks", an.top_chunks_agg, lambda parts: parts.groupBy("chunk_id").agg(F.sum("count").alias("count"))
+    )
+    return texts.withColumn("hit_rate", F.col("hits") / F.col("count")).drop("hits"), chunks
 
 
 def job_counts(stream: DataFrame, states: list[str]) -> DataFrame:
