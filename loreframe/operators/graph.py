@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loreframe.functions import text as tx
 from loreframe.scale import latest_per_key
+from loreframe.session import written
 
 
 def owner_id() -> Column:
@@ -195,6 +196,45 @@ def expand_facts(
     return from_faq.select(*keep).unionByName(from_document.select(*keep)).distinct()
 
 
+FIRST_PASS = 16  # ends of edges taken in the first pass for each edge wanted; steers cost only
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("updated_at"), F.asc("id")]
+
+
+def near_edges(reached: DataFrame, own: DataFrame, limit: int) -> DataFrame:
+    """(center_id, id, updated_at): edges that may be among a centre's ``limit`` newest, all of those among them.
+
+    ``reached(center_id, entity_id)``; ``own(entity_id, own)`` holds each entity's ``limit`` newest edges in order.
+    A first pass takes only so many of the newest edges of each entity as should make ``limit`` different ones, an
+    edge being met from both ends. The ``limit``-th of them is a lower bound, and no older edge is joined in the
+    second pass. A centre where the first pass finds fewer has no bound and takes all.
+    """
+    take = F.ceil(F.lit(FIRST_PASS * limit) / F.count(F.lit(1))).cast("int")
+    shares = reached.groupBy("center_id").agg(take.alias("take"))
+    some = (
+        reached.join(shares, "center_id").join(own, "entity_id")
+        .select("center_id", F.explode(F.slice("own", F.lit(1), F.col("take"))).alias("e"))
+        .select("center_id", "e.updated_at", "e.id")
+    )
+    last = some.withColumn("rn", F.dense_rank().over(W.partitionBy("center_id").orderBy(*newest_first()))).filter(F.col("rn") <= limit)
+    bound = last.filter(F.col("rn") == limit).select(
+        "center_id", F.struct("updated_at", "id").alias("bound")
+    ).distinct()
+
+    def not_older(e: Column) -> Column:
+        at, b = e["updated_at"], F.col("bound")
+        newer = F.coalesce(at > b["updated_at"], at.isNotNull() & b["updated_at"].isNull())
+        return b.isNull() | newer | (at.eqNullSafe(b["updated_at"]) & (e["id"] <= b["id"]))
+
+    return (
+        reached.join(bound, "center_id", "left").join(own, "entity_id")
+        .select("center_id", F.explode(F.filter("own", not_older)).alias("e"))
+        .select("center_id", "e.updated_at", "e.id")
+    )
+
+
 def subgraph(
     centers: DataFrame,
     entities: DataFrame,
@@ -214,7 +254,8 @@ def subgraph(
     head = usable.toDF("head_entity_id", "head_type")
     tail = usable.toDF("tail_entity_id", "tail_type")
     edges = edges.select("id", "head_entity_id", "tail_entity_id", "relation_type", "updated_at")
-    edges = edges.join(head, "head_entity_id").join(tail, "tail_entity_id")
+    # read for the way, for the edges of each entity and for the result
+    edges = written(edges.join(head, "head_entity_id").join(tail, "tail_entity_id"), "edges")
     sides = edges.select(
         F.col("head_entity_id").alias("entity_id"), F.col("tail_entity_id").alias("next_id"),
         "id", "updated_at", "head_type", "tail_type",
@@ -238,18 +279,20 @@ def subgraph(
         shown = shown.filter(F.col("head_type").isin(entity_types) | F.col("tail_type").isin(entity_types))
     # An edge's place does not depend on the centre, so each entity needs only its own best edges,
     # and equal edges reached twice share one dense rank: both limits cut before the shuffle.
-    newest = [F.desc("updated_at"), F.asc("id")]
-    own = shown.withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy(*newest))).filter(
-        F.col("rn") <= limit
-    ).select("entity_id", "id", "updated_at")
-    ranked = reached.join(own, "entity_id").select("center_id", "id", "updated_at")
+    own = (
+        shown.withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy(*newest_first())))
+        .filter(F.col("rn") <= limit)
+        .groupBy("entity_id")
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "updated_at", "id"))).alias("own"))
+    )
+    ranked = near_edges(written(reached, "reached"), written(own, "own-edges"), limit)
     top = (
-        ranked.withColumn("rn", F.dense_rank().over(W.partitionBy("center_id").orderBy(*newest)))
+        ranked.withColumn("rn", F.dense_rank().over(W.partitionBy("center_id").orderBy(*newest_first())))
         .filter(F.col("rn") <= limit)
         .select("center_id", "id")
         .distinct()
-        .join(edges, "id")
     )
+    top = written(top, "nearest").join(edges, "id")
     counts = evidence_counts(
         live.join(top.select(F.col("id").alias("relation_id")).distinct(), "relation_id", "left_semi"), "relation_id"
     )

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
-from pyspark.sql import Row, functions as F, types as T
+from pyspark.sql import Row, Window as W, functions as F, types as T
 
 from loreframe import scale
 from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md
@@ -56,6 +56,38 @@ def test_neighbourhood(spark):
     assert [x.relation_id for x in one] == ["rbc"]
 
 
+def test_neighbourhood_bound_loses_no_edge(spark):
+    """A dense random graph with a hub and many equal times, against a plain search; few edges are candidates."""
+    rnd, limit = random.Random(7), 20
+    names = [f"n{i:03d}" for i in range(60)]
+    pairs = [(rnd.choice(names), rnd.choice(names)) for _ in range(2500)] + [("n000", x) for x in names[1:]]
+    rows = [(f"r{i:05d}", h, t, rnd.choice([None, *range(300)])) for i, (h, t) in enumerate(pairs) if h != t]
+    lone = [("z1", "z2", 5), ("z2", "z3", 5)]
+    rows += [(f"s{i}", h, t, at) for i, (h, t, at) in enumerate(lone)]
+    names += ["z1", "z2", "z3", "z4"]
+    e = spark.createDataFrame([(n, "t", "usable") for n in names], "id string, entity_type string, status string")
+    r = spark.createDataFrame(rows, "id string, head_entity_id string, tail_entity_id string, updated_at int")
+    r = r.withColumns({"relation_type": F.lit("requires"), "status": F.lit("usable")})
+    live = spark.createDataFrame([], "id string, relation_id string, entity_id string")
+    got = {}
+    for x in kg.subgraph(e.select("id"), e, r, live, hops=2, limit=limit).collect():
+        got.setdefault(x.center_id, set()).add(x.relation_id)
+    ends = {}
+    for i, h, t, at in rows:
+        for a, b in ((h, t), (t, h)):
+            ends.setdefault(a, []).append((b, (at is None, -(at or 0), i)))
+    for c in names:
+        near = {c} | {b for b, _ in ends.get(c, [])}
+        best = sorted({key for a in near for _, key in ends.get(a, [])})[:limit]
+        assert got[c] == ({key[2] for key in best} or {None})
+    sides = spark.createDataFrame([(a, key[2], None if key[0] else -key[1]) for a in ends for _, key in ends[a]], "entity_id string, id string, updated_at int")
+    own = sides.withColumn("rn", F.row_number().over(W.partitionBy("entity_id").orderBy(*kg.newest_first()))).filter(F.col("rn") <= limit)
+    own = own.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("rn", "updated_at", "id"))).alias("own"))
+    reached = spark.createDataFrame([(c, a) for c in names for a in {c} | {b for b, _ in ends.get(c, [])}], "center_id string, entity_id string")
+    every = reached.join(own, "entity_id").agg(F.sum(F.size("own"))).first()[0]
+    assert kg.near_edges(reached, own, limit).count() < 0.15 * every
+
+
 def test_resolution_rules(spark):
     p = spark.createDataFrame([("j", "e1", "t"), ("j", "e2", "t"), ("j", "e3", "u"), ("j", "e4", "t")], "job_id string, entity_id string, entity_type string")
     g = spark.createDataFrame(
