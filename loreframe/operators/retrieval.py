@@ -8,6 +8,7 @@ from loreframe.functions import text as tx
 from loreframe.functions.constants import DOMAIN_WORDS, MAX_TERMS, MIN_SCORE, RRF_K, TOP_K
 from loreframe.operators import vectorcells
 from loreframe.operators.patternsearch import pattern_topk
+from loreframe.session import written
 
 
 # --- terms -------------------------------------------------------------------------------------
@@ -367,6 +368,54 @@ def hybrid_topk(
     return merged.drop("rank").withColumnRenamed("final_rank", "rank")
 
 
+def hybrid_run(
+    queries: DataFrame,
+    terms: DataFrame,
+    live: DataFrame,
+    facts: DataFrame,
+    k: int = TOP_K,
+    provider=None,
+    rerank_input: int = 0,
+) -> dict[str, DataFrame]:
+    """A whole run with its steps kept: ``vector``, ``keyword``, ``kg``, ``fused`` and ``result``.
+
+    ``facts(query_id, id, rank, score)`` are the rows that found facts lead to, a row for each fact. A query without
+    a vector has the other two channels. ``result`` holds the best ``k`` rows in the order of
+    ``provider(fused)`` where it applies, else of the fusion, with ``fused_rank`` and ``rerank_used``. Vector, keyword
+    and fused rows are written, as the result and the trace both read them.
+    """
+    limit = candidate_limit(k, rerank_input)
+    asked = queries.filter("query_embedding is not null")
+    steps = {
+        "vector": written(vector_topk(asked, live, limit), "vector"),
+        "keyword": written(keyword_topk(terms, live, limit), "keyword"),
+        "kg": facts,
+    }
+    fused = written(fuse([channel(hits, name, i) for i, (name, hits) in enumerate(steps.items())], limit), "fused")
+    if provider is None:
+        ordered = fused.filter(F.col("rank") <= k).withColumns({"fused_rank": F.col("rank"), "rerank_used": F.lit(False)})
+    else:
+        merged = rerank_merge(fused, provider(fused), k, rerank_input or None)
+        ordered = merged.withColumnsRenamed({"rank": "fused_rank", "final_rank": "rank"})
+    return {**steps, "fused": fused, "result": ordered}
+
+
+def hybrid_trace(queries: DataFrame, run: dict[str, DataFrame], parents: DataFrame) -> DataFrame:
+    """What each step of a run brought each query, counted from its rows; queries without any stay with zeros."""
+    steps = {**run, "parent": parents}
+    rows = None
+    for name, hits in steps.items():
+        ids = hits.select("query_id", "id").distinct() if name == "kg" else hits.select("query_id")
+        one = ids.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(name))
+        rows = one if rows is None else rows.unionByName(one)
+    counts = rows.groupBy("query_id").agg(
+        *[F.sum(F.when(F.col("step") == name, F.col("n")).otherwise(0)).alias(f"{name}_count") for name in steps]
+    )
+    reranked = run["result"].groupBy("query_id").agg(F.max("rerank_used").alias("rerank_used"))
+    traced = queries.select("query_id", "query").join(counts, "query_id", "left").join(reranked, "query_id", "left")
+    return traced.fillna(0, [f"{name}_count" for name in steps]).fillna(False, ["rerank_used"])
+
+
 def parent_context(
     candidates: DataFrame, rows: DataFrame, files: DataFrame, import_chunks: DataFrame, status="usable"
 ) -> DataFrame:

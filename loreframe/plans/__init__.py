@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "replacing", "ingest", "quality", "streams"]
+MODULES = ["search", "traffic", "textual", "ingest_state", "graphs", "replacing", "whole", "ingest", "quality", "streams"]
 
 
 def load_all() -> None:

@@ -186,3 +186,31 @@ def test_empty_inputs(spark):
     docs, rows, qs, terms = lexical(spark)
     assert rt.keyword_topk(terms.limit(0), rows, 5).count() == 0
     assert rt.keyword_topk(terms, rows.limit(0), 5).count() == 0
+
+
+def test_whole_run_and_its_trace(spark):
+    """Three channels, a reranked and a plain query, one without a vector and one that finds nothing."""
+    live = spark.createDataFrame(
+        [(f"r{i}", f"t{i}", f"word{i} common", f"word{i} common", 10 - i, [1.0, float(i)]) for i in range(4)],
+        "id string, source_title string, search_text string, content string, updated_at long, embedding array<float>",
+    )
+    asked = [(1, "common", [1.0, 0.0]), (2, "word3", None), (3, "nowhere", None)]
+    queries = spark.createDataFrame(asked, "query_id long, query string, query_embedding array<float>")
+    terms = spark.createDataFrame([(q, text, [text]) for q, text, _ in asked], "query_id long, query string, terms array<string>")
+    facts = hits(spark, [(2, "r0", 1, 0.9), (2, "r0", 2, 0.8), (2, "r1", 2, 0.8)])
+    backwards = lambda fused: fused.select("query_id", (-F.col("rank")).alias("position"), (F.col("rank") - 1).alias("index"))
+    run = rt.hybrid_run(queries, terms, live, facts, 3, backwards)
+    fused = {(r.query_id, r.rank): r.id for r in run["fused"].collect()}
+    result = sorted((r.query_id, r.rank, r.id, r.fused_rank, r.rerank_used) for r in run["result"].collect())
+    assert [fused[1, n] for n in (1, 2, 3, 4)] == ["r0", "r1", "r2", "r3"]  # the newest first by words, the nearest by vector
+    assert result[:3] == [(1, 1, "r3", 4, True), (1, 2, "r2", 3, True), (1, 3, "r1", 2, True)]
+    assert [x[1:] for x in result[3:]] == [(1, "r3", 1, False), (2, "r0", 2, False), (3, "r1", 3, False)]
+    parents = spark.createDataFrame([(1, "p")], "query_id long, id string")
+    trace = {r.query_id: r for r in rt.hybrid_trace(queries, run, parents).collect()}
+    near = sum(1 / np.hypot(1, i) >= rt.MIN_SCORE for i in range(4))
+    steps = ("vector", "keyword", "kg", "fused", "result", "parent")
+    assert [trace[1][f"{s}_count"] for s in steps] == [near, 4, 0, 4, 3, 1] and trace[1].rerank_used
+    assert [trace[2][f"{s}_count"] for s in steps] == [0, 1, 2, 3, 3, 0] and not trace[2].rerank_used
+    assert [trace[3][f"{s}_count"] for s in steps] == [0] * 6 and not trace[3].rerank_used
+    plain = rt.hybrid_run(queries, terms, live, facts, 3)["result"]
+    assert {(r.query_id, r.rank): r.id for r in plain.collect()} == {key: v for key, v in fused.items() if key[1] <= 3}
