@@ -51,10 +51,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     segments = ids.select(F.size("code")).first()
     wanted = min(k, ids.limit(k).count())
     result = empty_like(spark, "q array<int>, id long, distance int, code array<int>")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = 0
     while segments is not None and r <= SEGMENT and not active.isEmpty():
         masks = F.expr(f"filter(sequence(0, {(1 << SEGMENT) - 1}), x -> bit_count(x) = {r})")
-        probes = active.select("q", "kth", F.posexplode("q").alias("at", "own")).withColumn("mask", F.explode(masks))
+        # a fixed number of partitions: the rows are small before the masks multiply them, so they would be put in one
+        dealt = active.select("q", "kth", F.posexplode("q").alias("at", "own")).repartition(tasks, "q", "at")
+        probes = dealt.withColumn("mask", F.explode(masks))
         probes = probes.select("q", "kth", "at", F.col("own").bitwiseXOR(F.col("mask")).alias("asked"))
         apart = F.zip_with("q", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         distance = F.aggregate(apart, F.lit(0), lambda a, b: a + b)
