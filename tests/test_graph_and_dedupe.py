@@ -163,6 +163,46 @@ def test_near_duplicates_equal_brute_force(spark):
     assert indexed == want
 
 
+def long_texts(n=36, seed=5):
+    """Texts of few frequent letters, 200 to 700 long, with rare ones in between; two edited forms of every third."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n // 3):
+        chars = [rnd.choice("abcdef") for _ in range(rnd.randint(230, 700))]
+        for at in range(0, len(chars), rnd.choice((40, 90, 200))):
+            chars[at] = rnd.choice("uvwxyz")
+        out.append("".join(chars))
+        cut = rnd.randint(20, 120)
+        out.append("".join(chars[:cut] + [rnd.choice("abcdef") for _ in range(rnd.choice((5, 60, 150)))] + chars[cut:]))
+        for _ in range(rnd.choice((3, 8, 20))):
+            chars[rnd.randrange(len(chars))] = rnd.choice("abcdef")
+        out.append("".join(chars))
+    return out
+
+
+def test_near_duplicates_of_long_texts_equal_brute_force(spark):
+    t = long_texts()
+    cols = "id string, body string"
+    left = spark.createDataFrame([(f"c{i:02d}", x) for i, x in enumerate(t)], cols)
+    right = spark.createDataFrame([(f"r{i:02d}", x) for i, x in enumerate(t)], cols)
+    want = {(f"c{i:02d}", f"r{j:02d}") for i, a in enumerate(t) for j, b in enumerate(t) if SequenceMatcher(None, a, b).ratio() >= dd.NEAR}
+    assert len(want) > len(t) + 10
+    assert sum(dd._run_length(x)[0] > 0 for x in t) >= 24
+    got = {(x.l, x.r) for x in dd._near_pairs(left, right).collect()}
+    assert want <= got
+
+
+def test_unrelated_long_texts_are_no_candidates(spark):
+    rnd = random.Random(6)
+    syllables = ["th", "an", "er", "on", "he", "in", "re", "ha", "nd", "es", "at", "st", "ou", "ti", "ly", "ble", "you"]
+    t = ["".join(rnd.choice(syllables) if rnd.random() > 0.02 else rnd.choice("kqxzjv") for _ in range(400)) for _ in range(40)]
+    cols = "id string, body string"
+    left = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(t)], cols)
+    right = spark.createDataFrame([(f"r{i}", x) for i, x in enumerate(t)], cols)
+    pairs = {(x.l, x.r) for x in dd._near_pairs(left, right).collect()}
+    assert {(f"c{i}", f"r{i}") for i in range(40)} <= pairs and len(pairs) < 160  # 1600 by the letters alone
+
+
 def test_short_texts_match(spark):
     cols = "id string, chunk_id string, question string, answer string"
     c = spark.createDataFrame([("c", "k", "a", "")], cols)
