@@ -86,9 +86,10 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
             | F.exists("relations", lambda r: _bad_evidence(r["evidence"], text)),
             "evidence",
         )
-        .when((F.size(F.array_distinct(ids)) < F.size(ids)) | (F.size(F.array_distinct(facts)) < F.size(facts)), "duplicate")
+        .when((F.size(F.array_distinct("ids")) < F.size("ids")) | (F.size(F.array_distinct("facts")) < F.size("facts")), "duplicate")
     )
-    checked = parsed.withColumn("reject", reject)
+    # each step is a column of its own: written out again inside a lambda or a filter it would run for every element
+    checked = parsed.withColumns({"ids": ids, "facts": facts}).withColumn("reject", reject)
 
     def item(kind, name, entity_type, excerpt):
         return F.struct(
@@ -96,6 +97,7 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
             entity_type.alias("entity_type"), excerpt.alias("excerpt"),
         )
 
+    good = F.col("reject").isNull()
     own = F.transform(
         "entities", lambda e: item(F.lit("entity"), e["name"], e["entity_type"], F.get(e["evidence"], F.lit(0))["excerpt"])
     )
@@ -108,17 +110,28 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
             ),
         )
     )
-    added = F.filter(F.array_distinct(ends), lambda x: ~F.array_contains(F.transform(own, lambda o: o["id"]), x["id"]))
-    good = checked.filter("reject is null").select(
-        "job_id", "chunk_order", "source_text", F.explode(F.concat(own, added)).alias("x")
-    ).select(
-        "job_id", "chunk_order", F.lit(None).cast("string").alias("reject"), "x.kind", "x.id", "x.name",
-        (F.expr("locate(x.excerpt, source_text)") - 1).cast("long").alias("char_start"),
-        (F.expr("locate(x.excerpt, source_text)") - 1 + F.length("x.excerpt")).cast("long").alias("char_end"),
+    found = checked.select(
+        "job_id", "chunk_order", "reject", "source_text", F.when(good, own).alias("own"), F.when(good, ends).alias("ends")
     )
-    none = F.lit(None)
-    bad = checked.filter("reject is not null").select(
-        "job_id", "chunk_order", "reject", none.cast("string").alias("kind"), none.cast("string").alias("id"),
-        none.cast("string").alias("name"), none.cast("long").alias("char_start"), none.cast("long").alias("char_end"),
+    # few ends have no entity of their own; only these are compared with each other
+    missing = F.array_except(F.transform("ends", lambda x: x["id"]), F.transform("own", lambda x: x["id"]))
+    found = found.withColumn("missing", missing)
+    added = F.array_distinct(F.filter("ends", lambda x: F.array_contains("missing", x["id"])))
+    found = found.withColumn("items", F.concat("own", added))
+    # places are looked up before the rows multiply, so a text is not copied for each of them
+    placed = F.transform(
+        "items",
+        lambda x: F.struct(
+            x["kind"].alias("kind"), x["id"].alias("id"), x["name"].alias("name"),
+            F.position(x["excerpt"], text).alias("at"), F.length(x["excerpt"]).alias("n"),
+        ),
+    )
+    none = F.lit(None).cast("struct<kind:string,id:string,name:string,at:int,n:int>")
+    rows = found.select(
+        "job_id", "chunk_order", "reject", F.explode(F.when(good, placed).otherwise(F.array(none))).alias("x")
+    )
+    return rows.select(
+        "job_id", "chunk_order", "reject", "x.kind", "x.id", "x.name",
+        (F.col("x.at") - 1).cast("long").alias("char_start"),
+        (F.col("x.at") - 1 + F.col("x.n")).cast("long").alias("char_end"),
     )
-    return good.unionByName(bad)

@@ -123,6 +123,20 @@ def test_strict_extraction(spark):
     assert good == {("entity", "Login", 6, 11), ("endpoint", "Account", 6, 11)}
 
 
+def test_extraction_reads_and_parses_an_answer_once(spark):
+    one = json.loads(answer()[8:-4])
+    relation = one["relations"][0]
+    other = {**relation, "relation_type": "causes"}
+    text = "```json\n" + json.dumps({**one, "relations": [relation, other]}) + "\n```"
+    df = spark.createDataFrame([("j", 0, text, "Login page"), ("j", 0, text, "Login page"), ("j", 1, "{}", None)], "job_id string, chunk_order long, answer string, source_text string")
+    out = ex.parse_extractions(df)
+    got = sorted((r.chunk_order, r.reject or "", r.kind or "", r.char_start if r.char_start is not None else -1) for r in out.collect())
+    each = [(0, "", "endpoint", 0), (0, "", "entity", 0)]
+    assert got == sorted(each * 2 + [(1, "fields", "", -1)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") == 1 and plan.count("from_json") == 4
+
+
 def texts(n=60, seed=4):
     rnd = random.Random(seed)
     letters = "abcdefghijklmnop"
