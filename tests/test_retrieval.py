@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loreframe.operators import patternsearch, retrieval as rt, vectorcells
-from loreframe.operators.scorers import LikePattern
+from loreframe.operators.scorers import LikePattern, PatternSet
 
 
 def hits(spark, rows):
@@ -176,6 +176,29 @@ def test_bounds_leave_out_rows_without_a_rare_pattern():
     assert sorted((e[0], e[2]) for e in scorer.heaps.heaps[0]) == [(18, "r0"), (36, "r504"), (36, "r604")]
 
 
+def test_bounds_of_rows_without_a_title_hit_are_their_own():
+    """One row with the pattern in its title, which scores more, keeps no other row a candidate."""
+    asked = patternsearch.Asked(np.array([7]), ["all", "rare"], np.array([0, 0]), np.array([0, 1]), np.array([False, False]))
+    scorer = patternsearch.Scorer(asked, np.array([1000, 2]), np.array([[18, 18], [36, 0]]), np.array([[55, 55], [100, 0]]), 3)
+    for start in range(0, 1000, 10):
+        row, pattern = np.arange(10), np.zeros(10, np.int64)
+        mask = np.where((start == 900) & (row == 3), 7, 6)
+        scorer.chunk(row, pattern, mask, [f"r{start + i}" for i in range(10)], [1000 - start - i for i in range(10)])
+    assert scorer.scored == 10 + 1
+    assert sorted((e[0], e[2]) for e in scorer.heaps.heaps[0]) == [(18, "r0"), (18, "r1"), (36, "r903")]
+
+
+def test_a_suffix_is_found_as_by_itself():
+    rnd = random.Random(3)
+    words = ["ab", "a b", "b\nab", "ba", "a%b", "_a", "b", "aab b"]
+    patterns = PatternSet(words)
+    for _ in range(300):
+        suffix = "".join(rnd.choice("ab \n") for _ in range(rnd.randint(1, 12)))
+        text = "".join(rnd.choice("ab \n") for _ in range(rnd.randint(0, 5))) + suffix
+        whole, inside = patterns.found_with_suffix(text, suffix)
+        assert sorted(whole) == sorted(patterns.found(text)) and sorted(inside) == sorted(patterns.found(suffix))
+
+
 def test_like_patterns():
     assert LikePattern("a%c").search("xxabbbc") and not LikePattern("a%c").search("ca")
     assert LikePattern("a_c").search("abc") and not LikePattern("a_c").search("ac")
