@@ -9,8 +9,10 @@ least ``extra`` agree. There is one permuted table for each choice of that many
 agree in a table's blocks are candidates and are checked. That is exact, and fit for few bits.
 
 Near copies of ordinary texts are farther apart: at a Jaccard similarity of 0.9 some 27 of 256 bits. For
-them ``near_classes`` takes the radius from the similarity and, instead of all choices of blocks, as many
-permutations of the bits, cut into blocks of one width each, as the wanted recall needs.
+them ``near_classes`` takes the radius from the similarity. As many permutations of the bits, cut into blocks
+of one width each, as the wanted recall needs link most near copies into classes. Pairs of different classes are
+then searched without loss: the bits are cut into blocks of which one at least is nearly equal in every pair within
+the radius, and all keys that near an own one are looked up in a table of each block.
 """
 
 from __future__ import annotations
@@ -306,6 +308,105 @@ def _bucket_links(limit: int):
     return run
 
 
+BLOCKS = 13  # blocks of the bits in the search without loss
+KEY_BITS = 20  # bits of a block that are looked up
+CELL = 1 << 21  # fingerprints on one side of a cell, about, at most
+SMALL_CELL = 1 << 12  # below so many on one side there are fewer cells
+STEP = 1 << 20  # candidate pairs that are checked at once
+WIDE = 16  # in places with more entries than this those of the asking row's class are skipped by search
+
+
+def _nearly_equal(radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits looked up, differing bits) of blocks; pairs within the radius differ by no more in one at least."""
+    count = min(BLOCKS, radius + 1)
+    edges = [round(k * BITS / count) for k in range(count + 1)]
+    least, more = divmod(radius + 1, count)  # one bit more in every block would be radius + 1 in all
+    return [(a, min(b - a, KEY_BITS), least - 1 + (k < more)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+
+
+def _block_key(words: np.ndarray, first: int, width: int) -> np.ndarray:
+    """The bits from ``first`` on of fingerprints, given as rows of 64-bit words."""
+    word, skipped = divmod(first, 64)
+    value = words[word] << np.uint64(skipped)
+    if skipped + width > 64:
+        value = value | (words[word + 1] >> np.uint64(64 - skipped))
+    return (value >> np.uint64(64 - width)).astype(np.int64)
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(range, place) of every place of the ranges, about ``STEP`` at a time."""
+    count = high - low
+    ends = np.cumsum(count)
+    cuts = np.searchsorted(ends, np.arange(STEP, ends[-1] if len(ends) else 0, STEP)) + 1
+    cuts = np.unique(np.concatenate([[0], cuts, [len(count)]]))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        own = count[x:y]
+        before = np.cumsum(own) - own
+        yield np.repeat(np.arange(x, y), own), np.arange(own.sum()) + np.repeat(low[x:y] - before, own)
+
+
+def _cell_links(radius: int, parts: int):
+    """Classes that a pair within the radius links, from the fingerprints of two parts (or of one)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = divmod(table.column("cell")[0].as_py(), parts)
+        part = table.column("part").to_numpy()
+        words = np.stack([table.column(f"w{k}").to_numpy() for k in range(BITS // 64)]).view(np.uint64)
+        names, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found = [np.zeros(0, np.int64)]
+        for first, width, differing in _nearly_equal(radius):
+            key = _block_key(words, first, width)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(key[right], minlength=1 << width))])
+            coded = key[right] * len(names) + root[right]
+            order = np.argsort(coded)
+            coded, at = coded[order], right[order]
+            own = key[left]
+            for flips in (c for n in range(differing + 1) for c in combinations(range(width), n)):
+                asked = own ^ sum(1 << k for k in flips)
+                low, high = starts[asked], starts[asked + 1]
+                hit = np.flatnonzero(low < high)
+                who, asked, low, high = left[hit], asked[hit], low[hit], high[hit]
+                wide = high - low > WIDE
+                if wide.any():  # entries of one class stand together
+                    same = asked[wide] * len(names) + root[who[wide]]
+                    a, b = np.searchsorted(coded, same, "left"), np.searchsorted(coded, same, "right")
+                    low, high = np.concatenate([low[~wide], low[wide], b]), np.concatenate([high[~wide], a, high[wide]])
+                    who = np.concatenate([who[~wide], who[wide], who[wide]])
+                for row, place in _ranges(low, high):
+                    a, b = who[row], at[place]
+                    half = sum(np.bitwise_count(words[k][a] ^ words[k][b]) for k in range(2))
+                    near = np.flatnonzero((half <= radius) & (root[a] != root[b]))
+                    a, b = a[near], b[near]
+                    apart = np.bitwise_count(words[:, a] ^ words[:, b]).sum(axis=0, dtype=np.int64)
+                    a, b = root[a[apart <= radius]], root[b[apart <= radius]]
+                    if len(a):
+                        found.append(np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)))
+            found = [np.unique(np.concatenate(found))]
+        a, b = np.divmod(found[0], max(1, len(names)))
+        return pa.table({"a": pa.array(names[a], pa.int64()), "b": pa.array(names[b], pa.int64())})
+
+    return run
+
+
+def _links_between(known: DataFrame, total: int, radius: int) -> DataFrame:
+    """(a, b) of all classes that a pair within the radius links, from ``known(fingerprint, root)``.
+
+    The fingerprints are dealt into parts by hash, and every two parts meet in one cell, the unit of work: it holds a
+    bounded number of fingerprints, and the parts, not the pairs, are copied.
+    """
+    parts = min(8, -(-total // SMALL_CELL)) if total <= 8 * CELL else -(-total // CELL)
+    parts = max(1, parts)
+    words = [F.conv(F.substring("fingerprint", 16 * k + 1, 16), 16, -10).cast("long").alias(f"w{k}") for k in range(BITS // 64)]
+    part = F.pmod(F.xxhash64("fingerprint"), F.lit(parts)).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda c: F.least("part", c) * parts + F.greatest("part", c)
+    )
+    dealt = known.select("root", part.alias("part"), *words).withColumn("cell", F.explode(cells))
+    spread = dealt.repartition(parts * parts + parts, "cell")  # twice as many as cells
+    return spread.groupBy("cell").applyInArrow(_cell_links(radius, parts), "a long, b long").distinct()
+
+
 def near_classes(marks: DataFrame, similarity: float = 0.9, recall: float = 0.9, width: int | None = None) -> DataFrame:
     """Classes of ``marks(doc_id, fingerprint)``: fingerprint, near_class and n_near.
 
@@ -317,7 +418,9 @@ def near_classes(marks: DataFrame, similarity: float = 0.9, recall: float = 0.9,
     Tables have keys of ``width`` bits, as many as tell all fingerprints apart and at least 24, and are so many
     that pairs of the similarity are found with the recall. Found links are checked on all bits, so none is
     wrong. Within a bucket rows link to leaders, not to each other. Buckets above ``FULL_BUCKET`` are first
-    split by a hash, then their leaders compared.
+    split by a hash, then their leaders compared. All that is left out so far are pairs of different classes,
+    and of these ``_links_between`` finds every one within the radius. So the classes are those of all pairs;
+    ``recall`` and ``width`` steer cost only.
     """
     one = marks.where("fingerprint is not null").groupBy("fingerprint")
     one = one.agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
@@ -348,5 +451,7 @@ def near_classes(marks: DataFrame, similarity: float = 0.9, recall: float = 0.9,
     sides = pairs.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
     roots = components(sides.where(_distance("x", "y") <= radius).select("a", "b"))
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = components(_links_between(known.select("fingerprint", "root"), total, radius)).toDF("root", "joined")
+    known = known.join(joined, "root", "left").withColumn("root", F.coalesce("joined", "root"))
     classes = known.groupBy("root").agg(F.min("least").alias("near_class"), F.sum("copies").alias("all"))
     return known.join(classes, "root").select("fingerprint", "near_class", (F.col("all") - 1).alias("n_near"))

@@ -317,6 +317,25 @@ def test_near_classes_of_chains(spark, monkeypatch, full, sampled):
     assert {r["doc_id"]: (r["near_class"], r["n_near"]) for r in got} == classes_of(rows, radius_for(0.9))
 
 
+@pytest.mark.parametrize("small,step", [(1 << 12, 1 << 20), (64, 8)])
+def test_near_classes_lose_no_pair_at_the_radius(spark, monkeypatch, small, step):
+    """Pairs just within and just beyond the radius, in one cell and in several; and without any table, by the cells alone."""
+    monkeypatch.setattr("loreframe.llm.fingerprints.SMALL_CELL", small)
+    monkeypatch.setattr("loreframe.llm.fingerprints.STEP", step)
+    monkeypatch.setattr("loreframe.llm.fingerprints.WIDE", 1)
+    rng, radius, rows = random.Random(10), radius_for(0.9), []
+    for n in range(120):
+        x = rng.getrandbits(BITS)
+        y = x ^ sum(1 << k for k in rng.sample(range(BITS), radius + (n % 4 == 0)))
+        rows += [(len(rows), f"{x:064x}"), (len(rows) + 1, f"{y:064x}")]
+    x = rng.getrandbits(BITS)  # many that are all near each other
+    rows += [(len(rows) + k, f"{x ^ (1 << k):064x}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    for recall in (0.9, 0.01):
+        got = df.join(near_classes(df, 0.9, recall), "fingerprint").collect()
+        assert {r["doc_id"]: (r["near_class"], r["n_near"]) for r in got} == classes_of(rows, radius)
+
+
 def test_near_copies_are_found_by_their_texts(spark):
     """Recall of pairs of Jaccard 0.9 or more, on edited texts; clean texts stay alone."""
     rng = random.Random(9)
