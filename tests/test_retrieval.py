@@ -237,3 +237,33 @@ def test_whole_run_and_its_trace(spark):
     assert [trace[3][f"{s}_count"] for s in steps] == [0] * 6 and not trace[3].rerank_used
     plain = rt.hybrid_run(queries, terms, live, facts, 3)["result"]
     assert {(r.query_id, r.rank): r.id for r in plain.collect()} == {key: v for key, v in fused.items() if key[1] <= 3}
+
+
+def test_lsh_equals_the_join_of_buckets(spark):
+    """The same hits as joining all pairs that share a bucket, without a row for each pair; zero and repeated rows too."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in v] for v in rng.normal(size=(90, 4))] + [[0.0] * 4]
+    rows = [(f"r{i}", v) for i, v in enumerate(vectors)] + [("r3", vectors[3]), ("none", None)]
+    asked = [(i, v) for i, v in enumerate(vectors[60:])]
+    live = spark.createDataFrame(rows, "id string, embedding array<float>")
+    queries = spark.createDataFrame(asked, "query_id long, query_embedding array<float>")
+    found = rt.vector_topk_lsh(queries, live, 5)
+    assert "CoGroups" in found._jdf.queryExecution().toString()
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()}
+
+    def unit(df, key, col):
+        raw = df.where(F.col(col).isNotNull()).select(F.col(key).alias("key"), array_to_vector(F.col(col).cast("array<double>")).alias("raw"))
+        return Normalizer(inputCol="raw", outputCol="unit", p=2.0).transform(raw).select("key", "unit")
+
+    a, b = unit(queries, "query_id", "query_embedding"), unit(live, "id", "embedding")
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.8, numHashTables=8, seed=42).fit(b)
+    pairs = model.approxSimilarityJoin(a, b, 2.0, distCol="d").select("datasetA.key", F.col("datasetB.key").alias("id"), "d").collect()
+    want = {}
+    for q, _ in asked:
+        near = sorted((-round(1 - p["d"] ** 2 / 2, 9), p["id"]) for p in pairs if p["key"] == q)
+        want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate([x for x in near if -x[0] >= 0.35][:5])}
+    assert got.keys() == want.keys()
+    assert all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-9 for x in got)
