@@ -283,6 +283,29 @@ def test_near_classes_of_one_bucket_equal_all_pairs(spark, monkeypatch):
     assert len(set(want.values())) < len(t) / 2
 
 
+def test_near_classes_of_a_bucket_of_unlike_texts_take_few_rounds(spark, monkeypatch):
+    """The anchors of a round grow as long as its pairs stay bounded; 16 each time took eight rounds here."""
+    one = F.pandas_udf(lambda s: pd.Series([[7]] * len(s)), T.ArrayType(T.LongType()))
+    monkeypatch.setattr(dd, "band_keys", lambda bands, rows: one)
+    cuts, cut = [], dd.cut_lineage
+    monkeypatch.setattr(dd, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    docs = [(i, f"a{i} b{i} c{i} d{i}") for i in range(120)] + [(200, "a119 b119 c119 d119"), (201, None), (202, " ")]
+    _, classes = dd.near_classes(spark.createDataFrame(docs, "id long, body string"))
+    assert {r.id: r.root for r in classes.collect()} == {i: i for i in [*range(120), 201, 202]} | {200: 119}
+    assert len(cuts) <= 20
+
+
+def test_anchors_of_a_round_stay_bounded(spark, monkeypatch):
+    """With room for no more pairs a round takes the fewest anchors, and the classes are the same."""
+    one = F.pandas_udf(lambda s: pd.Series([[7]] * len(s)), T.ArrayType(T.LongType()))
+    monkeypatch.setattr(dd, "band_keys", lambda bands, rows: one)
+    monkeypatch.setattr(dd, "ANCHORS", (4, 16))
+    monkeypatch.setattr(dd, "PAIRS", 0)
+    t = chains(2, chain=5, groups=2)
+    _, classes = dd.near_classes(spark.createDataFrame(list(enumerate(t)), "id long, body string"))
+    assert {r.id: r.root for r in classes.collect()} == brute_classes(t)
+
+
 def test_metrics_keep_unlabelled_cases(spark):
     rows = [("s", ["x"], ["a", "x"]), ("s", ["m"], ["a", "b"])]
     df = spark.createDataFrame(rows, "s string, expected_ids array<string>, retrieved_ids array<string>")
