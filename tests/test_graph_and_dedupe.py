@@ -10,7 +10,9 @@ from pyspark.sql import Row, Window as W, functions as F, types as T
 
 from loreframe import scale
 from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md
+from loreframe.plans import graphs
 from loreframe.sources.faq_jsonl import read_faq_jsonl
+from loreframe.sources.tables import Tables
 
 
 def test_scale_helpers_equal_plain_windows(spark):
@@ -306,6 +308,40 @@ def test_anchors_of_a_round_stay_bounded(spark, monkeypatch):
     assert {r.id: r.root for r in classes.collect()} == brute_classes(t)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def extraction_tables(spark, folder):
+    """Documents of two sources with none, one and several capitalised words."""
+    texts = ["Ann met Bob. Ann met Cid", None, "", "none here", "Only one", "Bob Ann Eve", "Ann Bob"]
+    rows = [(i, x, "en", f"src{i % 2}", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    return Tables(spark, str(folder))
+
+
+def test_words_of_a_text_are_looked_for_once(spark, tmp_path):
+    t = extraction_tables(spark, tmp_path)
+    assert plan_of(t.map_entities).count("regexp_extract_all") == 1
+    assert plan_of(t.map_relations).count("regexp_extract_all") == 1
+    names = {(r.chunk_order, r.pos, r["name"]) for r in t.map_entities.collect()}
+    assert names == {(0, 0, "Ann"), (0, 1, "Bob"), (0, 2, "Cid"), (4, 0, "Only"), (5, 0, "Bob"), (5, 1, "Ann"), (5, 2, "Eve"),
+                     (6, 0, "Ann"), (6, 1, "Bob")}
+    pairs = {(r.chunk_order, r.head_name, r.tail_name) for r in t.map_relations.collect()}
+    assert pairs == {(0, "Ann", "Bob"), (0, "Bob", "Cid"), (5, "Bob", "Ann"), (5, "Ann", "Eve"), (6, "Ann", "Bob")}
+
+
+def test_merges_read_the_texts_once(spark, tmp_path):
+    """Entities are written once; the rest of the plan reads the texts for the relations alone."""
+    t = extraction_tables(spark, tmp_path)
+    assert plan_of(graphs.kg_reduce_entities(t)).count("regexp_extract_all") == 0
+    merged = graphs.kg_reduce_relations(t)
+    assert plan_of(merged).count("regexp_extract_all") == 1
+    assert {(r.job_id, r.support) for r in merged.collect()} <= {("kgjob_src0", 1), ("kgjob_src0", 2), ("kgjob_src1", 1)}
+
+
 def test_metrics_keep_unlabelled_cases(spark):
     rows = [("s", ["x"], ["a", "x"]), ("s", ["m"], ["a", "b"])]
     df = spark.createDataFrame(rows, "s string, expected_ids array<string>, retrieved_ids array<string>")
