@@ -3,6 +3,7 @@
 import json
 import random
 from difflib import SequenceMatcher
+from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -342,6 +343,29 @@ def test_merges_read_the_texts_once(spark, tmp_path):
     assert {(r.job_id, r.support) for r in merged.collect()} <= {("kgjob_src0", 1), ("kgjob_src0", 2), ("kgjob_src1", 1)}
 
 
+def test_fact_hits_are_found_once(spark, monkeypatch):
+    """The hits are read for entities, relations and the diagnostics, but searched for once."""
+    hits = spark.createDataFrame(
+        [(1, "kc_kg_entity_a", "kg_entity", "a", 1, 2.0)],
+        "query_id long, id string, source_type string, source_id string, rank long, score double",
+    ).mapInArrow(lambda batches: batches, "query_id long, id string, source_type string, source_id string, rank long, score double")
+    monkeypatch.setattr(graphs, "fact_hits", lambda t: hits)
+    names = "kg_entities kg_relations kg_evidence knowledge_chunks import_files import_chunks faq_documents".split()
+    t = SimpleNamespace(**dict.fromkeys(names))
+    given = []
+
+    def expand(hits, *tables):
+        given.append(hits)
+        return hits.select("query_id", F.col("id").alias("fact_chunk_id"), F.lit("x").alias("id"))
+
+    monkeypatch.setattr(graphs.kg, "expand_facts", expand)
+    graphs.expanded(t)
+    assert "MapInArrow" not in plan_of(given[0])
+    found = graphs.kg_fact_diagnostics(t)
+    assert "MapInArrow" not in plan_of(found)
+    assert [(r.fact_chunk_id, r.expanded_id) for r in found.collect()] == [("kc_kg_entity_a", "x")]
+
+
 def test_metrics_keep_unlabelled_cases(spark):
     rows = [("s", ["x"], ["a", "x"]), ("s", ["m"], ["a", "b"])]
     df = spark.createDataFrame(rows, "s string, expected_ids array<string>, retrieved_ids array<string>")
