@@ -11,9 +11,13 @@ that two similar nodes share one:
 The boundary is the set size with the least total of enumerated subsets below and scanned list
 entries above it, both counted over the whole input.
 
-A short list is compared pair by pair, first by the n-grams that made the lists, then by whole sets. A longer one is scanned without comparing all its pairs, against a
-reference set ``m``: the n-grams that most of some of its members have. Any set would give right results;
-a typical one leaves little to do. Let e(x) be the number of n-grams in which x and m differ, and
+A heavy node whose lists are not frequent goes into SHARED - 1 further ones; it is ``strong``. Two strong nodes that match
+share SHARED n-grams of their lists, or all that a match needs, if that is fewer. Such a pair of short lists is compared
+only if it meets in so many of them: if one of the shared lists is longer, that list links the pair.
+
+A short list is compared pair by pair, first by the n-grams that made the lists, then by whole sets. A longer one is
+scanned without comparing all its pairs, against a reference set ``m``: the n-grams that most of some of its members
+have. Any set would give right results; a typical one leaves little to do. Let e(x) be the number of n-grams in which x and m differ, and
 w(x) = r|x| - e(x) with r = (100 - percent) / (100 + percent). Two sets match when they differ in at most
 r(|x| + |y|) n-grams, and x and y differ in e(x) + e(y) - 2k, where k counts the differences from m that
 they have in common. So they match exactly when w(x) + w(y) + 2k >= 0. Let c be the member with the
@@ -42,13 +46,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loreframe.llm.tables import components, empty_like
 from loreframe.llm.wordarrays import give_back, mix, shingles, slices, sorted_sets, text_bytes, word_hashes
 from loreframe.session import written
 
 LIGHT_SIZES = 32  # sizes up to this one are tried as the boundary
+SHARED = 4  # n-grams of their lists that a pair of strong nodes must share
 SHORT_LIST = 32  # lists up to this length are compared pair by pair
 REFERENCE_FROM = 9  # so many members of a longer list make its reference set
 LEADERS = 2  # lists with the same so many first members share their reference set
@@ -167,14 +172,14 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
 
 
 def _entries(size: int, percent: int, boundary: int, frequent):
-    """List entries (list, node, n) of every text by its class; ``many`` where the list is frequent."""
+    """List entries (list, node, n, strong) of every text by its class; ``many`` where the list is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 values, offsets = _sets(batch, size)
-                keys, nodes, sizes, many = [], [], [], []
+                keys, nodes, sizes, strong, many = [], [], [], [], []
                 for a, b in zip(offsets[:-1], offsets[1:]):
                     n = int(b - a)
                     if not n:
@@ -188,18 +193,21 @@ def _entries(size: int, percent: int, boundary: int, frequent):
                             for k in range(c):
                                 key = mix(key + members[chosen[:, k]])
                             own.append(key)
+                    further = False
                     if 100 * n >= percent * boundary:
-                        own.append(_by_order(members, late)[: prefix_length(n, percent)])
+                        first = _by_order(members, late)[: prefix_length(n, percent) + SHARED - 1]
+                        further = n >= boundary and not _in(first, late).any()
+                        own.append(first if further else first[: prefix_length(n, percent)])
                     key = np.concatenate(own)
                     keys.append(key)
                     nodes.append(np.full(len(key), _node(members), np.int64))
                     sizes.append(np.full(len(key), n, np.int64))
+                    strong.append(np.full(len(key), further))
                     many.append(_in(key, late))
                 if keys:
                     arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes, sizes)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*arrays, pa.array(np.concatenate(many))], names=["list", "node", "n", "many"]
-                    )
+                    arrays += [pa.array(np.concatenate(x)) for x in (strong, many)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["list", "node", "n", "strong", "many"])
 
     return run
 
@@ -275,17 +283,26 @@ def _differences(frequent):
     return run
 
 
+def _band(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+
+
 def _banded(entries: DataFrame, percent: int) -> DataFrame:
-    """Each entry in two size bands: two sizes that can match meet in at least one of them."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    return entries.withColumn("band", F.explode(F.array(band, band + 1)))
+    """Each entry in two size bands; two sets that can match meet in the ``own`` band of the larger one."""
+    band = _band(F.col("n"), percent)
+    return entries.select("*", F.posexplode(F.array(band, band + 1)).alias("own", "band")).withColumn("own", F.col("own") == 0)
 
 
 def _live_members(entries: DataFrame, percent: int) -> DataFrame:
-    """Members of lists that can still link something, with the length of their list."""
+    """Members of lists that can still link something, with the length of their list.
+
+    A list in whose band no set has its own one holds only pairs that meet in the band before.
+    """
     held = _banded(entries, percent)
-    lists = held.groupBy("list", "band").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any_open"))
-    return held.join(lists.where("members > 1 and any_open"), ["list", "band"])
+    lists = held.groupBy("list", "band").agg(
+        F.count(F.lit(1)).alias("members"), F.max("open").alias("any_open"), F.max("own").alias("any_own")
+    )
+    return held.drop("own").join(lists.where("members > 1 and any_open and any_own").drop("any_own"), ["list", "band"])
 
 
 def _block(percent: int):
@@ -322,12 +339,21 @@ def _block(percent: int):
 
 
 def _short_pairs(short: DataFrame, percent: int) -> DataFrame:
-    """(m, x): all pairs of fitting sizes of the short lists, of which one is open."""
-    listed = short.groupBy("list", "band").agg(F.sort_array(F.collect_list(F.struct("n", "node", "open"))).alias("all"))
-    placed = listed.select("all", F.posexplode("all").alias("i", "a"))
-    paired = placed.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    """(m, x): all pairs of fitting sizes of the short lists, of which one is open.
+
+    Pairs of strong nodes must meet in SHARED lists, or in as many as the n-grams that a match needs. A pair counts
+    once for a list, in the band of its larger set.
+    """
+    listed = short.groupBy("list", "band").agg(F.sort_array(F.collect_list(F.struct("n", "node", "open", "strong"))).alias("all"))
+    placed = listed.select("band", "all", F.posexplode("all").alias("i", "a"))
+    paired = placed.select("band", "a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
+    paired = paired.where(F.col("band") == _band(F.col("b.n"), percent))
     paired = paired.where((100 * F.col("a.n") >= percent * F.col("b.n")) & (F.col("a.open") | F.col("b.open")))
-    return paired.select(F.col("a.node").alias("m"), F.col("b.node").alias("x")).distinct()
+    pair = F.col("a.node").alias("m"), F.col("b.node").alias("x")
+    need = F.least(F.lit(SHARED), F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent)).cast("int"))
+    need = F.when(F.col("a.strong") & F.col("b.strong"), need).otherwise(1)
+    met = paired.groupBy(*pair).agg(F.count(F.lit(1)).alias("met"), F.max(need).alias("need"))
+    return met.where("met >= need").select("m", "x")
 
 
 def _usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +404,8 @@ def _scanned(compared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     keep = F.greatest(F.lit(0), F.col("e") - F.greatest(F.lit(1), need) + 1).cast("int")
     goes = found.join(goes_on, "m").select("m", "x", "n", "open", F.explode(F.slice("differences", 1, keep)).alias("d"))
     return links, goes.select(
-        F.xxhash64("m", "d").alias("list"), F.col("x").alias("node"), "n", "open", F.col("m").alias("parent")
+        F.xxhash64("m", "d").alias("list"), F.col("x").alias("node"), "n", "open", F.lit(False).alias("strong"),
+        F.col("m").alias("parent"),
     )
 
 
@@ -425,12 +452,12 @@ def similar_links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[Da
     late = spark.sparkContext.broadcast(late)
     boundary = _boundary(described, lengths, percent)
 
-    entries = texts.mapInArrow(_entries(size, percent, boundary, late), "list long, node long, n long, many boolean")
+    entries = texts.mapInArrow(_entries(size, percent, boundary, late), "list long, node long, n long, strong boolean, many boolean")
     # a frequent list has members enough; of the others those with two different nodes go on
     one = W.partitionBy("list")
-    rare = entries.where("not many").select("list", "node", "n")
+    rare = entries.where("not many").select("list", "node", "n", "strong")
     rare = rare.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)}).where("low < high")
-    entries = rare.drop("low", "high").union(entries.where("many").select("list", "node", "n")).distinct()
+    entries = rare.drop("low", "high").union(entries.where("many").select("list", "node", "n", "strong")).distinct()
     entries = written(entries, "entries").withColumns({"open": F.lit(True), "parent": F.lit(0).cast("long")})
     sets = None
     links = empty_like(spark, "m long, x long")

@@ -54,6 +54,29 @@ def test_classes_equal_all_pairs(spark, monkeypatch, size, percent, short, refer
     assert Counter(map(tuple, got)) == brute_classes(docs.collect(), size, percent)
 
 
+def test_pairs_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Texts with one passage of three n-grams in common meet in short lists; only near copies are compared by their sets."""
+    rng, texts = random.Random(3), []
+    for _ in range(20):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(7)]
+        for _ in range(10):
+            texts.append(" ".join([f"w{rng.randrange(10**6)}" for _ in range(60)] + passage))
+    texts += [t.replace(t.split()[5], "other") for t in texts[::40]]
+    pairs, written = [], jaccard_join.written
+
+    def counted(df, label):
+        table = written(df, label)
+        if label == "short":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    docs = documents(spark, texts)
+    got = near_duplicate_classes(docs, 5, 80).collect()
+    assert Counter(map(tuple, got)) == brute_classes(docs.collect(), 5, 80)
+    assert len(pairs) == 1 and 5 <= pairs[0] <= 10
+
+
 def test_classes_of_nothing(spark):
     assert near_duplicate_classes(empty(spark)).collect() == []
     blank = documents(spark, [None, "", " "]).where("doc_id is not null")
