@@ -95,10 +95,17 @@ def stream_sessions(t: Tables) -> DataFrame:
     )
 
 
-def staged_rows(t: Tables, df: DataFrame, label: str, files: int = 4) -> tuple[str, DataFrame]:
+FILE_BYTES = 32 << 20  # of staged values, uncompressed
+
+
+def staged_rows(t: Tables, df: DataFrame, label: str, files: int = 4, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
+    """``df`` as files of bounded size, at least ``files``, and a stream that takes half of them at a time."""
     path = new_work_path(t.spark, label)
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8) for f in df.schema), F.lit(0))
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    files = max(files, -(-total // file_bytes))
     df.repartition(files).write.parquet(path)
-    return path, t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return path, t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
 
 
 @query("stream_latest_job", "SELECT file_id, id, status FROM latest_parse")

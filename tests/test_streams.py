@@ -4,7 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
+from loreframe.plans.streams import staged_rows
 from loreframe.scale import latest_per_key
+from loreframe.sources.tables import Tables
 from loreframe.streaming import jobs
 
 ROWS = "id string, at long, value long"
@@ -87,3 +89,14 @@ def test_index_keeps_the_newest_change_whatever_the_order(spark, tmp_path):
         spark.createDataFrame([("a", text, at)], rows).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows).option("maxFilesPerTrigger", 1).parquet(folder)
     assert [r.updated_at for r in jobs.index_rows(stream, "text").collect()] == [5]
+
+
+def test_staged_files_are_bounded_and_come_in_two_batches(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 2).select(F.col("id").cast("string").alias("id"), F.repeat(F.lit("x"), 250).alias("text"))
+    path, stream = staged_rows(Tables(spark, str(tmp_path)), rows, "staged", file_bytes=100_000)
+    held = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    assert len(held) == 11 and max(r["bytes"] for r in held) <= 110_000
+    taken = []
+    query = stream.writeStream.foreachBatch(lambda batch, n: taken.append(batch.count())).trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert len(taken) == 2 and sum(taken) == 4000
