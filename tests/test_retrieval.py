@@ -1,8 +1,10 @@
 """Fusion, rerank, block top-k and the indexed form against plain Python."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +83,26 @@ def test_vector_cells_equal_brute_force(spark, unit_bytes, per_block, kind, leas
     )
 
 
+def test_a_cell_keeps_few_scores_at_a_time():
+    """Only pairs that can be among the best are ordered; no table of all pairs of a cell is held."""
+    rng = np.random.default_rng(8)
+    rows, queries = rng.normal(size=(4096, 32)).astype(np.float32), rng.normal(size=(2048, 32)).astype(np.float32)
+    lists = lambda m: pa.array(list(m), pa.list_(pa.float32()))
+    asked = pa.table({"query_id": np.arange(2048), "query_embedding": lists(queries), "bound": np.full(2048, 0.3)})
+    offered = pa.table({"id": [f"r{i:04d}" for i in range(4096)], "tie": np.arange(4096) % 3, "embedding": lists(rows)})
+    tracemalloc.start()
+    got = vectorcells._score_cell(5)(asked, offered)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    unit = lambda m: m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    scores = np.round(unit(queries) @ unit(rows).T, 9)
+    want = {
+        (q, f"r{i:04d}") for q, s in enumerate(scores) for _, _, i in sorted((-s[i], -(i % 3), i) for i in np.flatnonzero(s >= 0.3))[:5]
+    }
+    assert {(q, i) for q, i in zip(got.column("query_id").to_pylist(), got.column("id").to_pylist())} == want
+
+
 def test_groups_leave_most_rings_unread(spark):
     rows = grouped(np.random.default_rng(2), 40, 50)
     q, r = vector_tables(spark, rows, rows[::17])
