@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Row, Window as W, functions as F, types as T
 
 from loreframe import scale
-from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md
+from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md, retrieval as rt
 from loreframe.plans import graphs
 from loreframe.sources.faq_jsonl import read_faq_jsonl
 from loreframe.sources.tables import Tables
@@ -366,6 +366,34 @@ def test_fact_hits_are_found_once(spark, monkeypatch):
     assert [(r.fact_chunk_id, r.expanded_id) for r in found.collect()] == [("kc_kg_entity_a", "x")]
 
 
+def test_fusion_keeps_every_fact_that_leads_to_a_row(spark):
+    """One vote per row at its best fact rank, and the facts themselves by (rank, fact row), each once."""
+    fact = "query_id long, id string, source_type string, source_id string, rank long, score double"
+    found = [(1, "kc_kg_relation_r", "kg_relation", "r", 1, 0.9), (1, "kc_kg_entity_a", "kg_entity", "a", 2, 0.5), (1, "kc_kg_entity_a", "kg_entity", "a", 4, 0.5)]
+    hits = spark.createDataFrame(found, fact)
+    entities = spark.createDataFrame([("a", "usable"), ("b", "usable")], "id string, status string")
+    relations = spark.createDataFrame([("r", "a", "b", "usable")], "id string, head_entity_id string, tail_entity_id string, status string")
+    evidence = spark.createDataFrame(
+        [("a", None, "faq", "q", None), (None, "r", "faq", "q", None)],
+        "entity_id string, relation_id string, source_type string, source_id string, source_chunk_id string",
+    )
+    originals = spark.createDataFrame(
+        [("kc_q", None), ("part_of_q", "c")], "id string, source_chunk_id string"
+    ).selectExpr("*", "'faq' source_type", "'q' source_id", "'chunk' chunk_level", "'usable' status", "'ready' embedding_status")
+    files = spark.createDataFrame([], "id string, is_disabled boolean")
+    chunks = spark.createDataFrame([], "id string, file_id string, is_disabled boolean")
+    faqs = spark.createDataFrame([("q", "usable", "ready")], "id string, status string, embedding_status string")
+    expanded = kg.expand_facts(hits, entities, relations, evidence, originals, files, chunks, faqs)
+    keyword = rt.channel(spark.createDataFrame([(1, "kc_q", 1, 1.0), (1, "kc_x", 2, 0.4)], "query_id long, id string, rank long, score double"), "keyword", 1)
+    rows = rt.fuse([keyword, rt.fact_channel(expanded, 2)], 5, keep_matches=True).orderBy("rank").collect()
+    assert [(r.id, r.channels, r.kg_score) for r in rows] == [("kc_q", "keyword,kg", 0.9), ("kc_x", "keyword", None)]
+    assert [tuple(m) for m in rows[0].kg_matches] == [
+        (1, "kc_kg_relation_r", "r", "kg_relation", 0.9), (2, "kc_kg_entity_a", "a", "kg_entity", 0.5)
+    ]
+    assert rows[1].kg_matches == []
+    assert abs(rows[0].fused_score - round(2 / 61, 9)) < 1e-12
+
+
 def test_metrics_keep_unlabelled_cases(spark):
     rows = [("s", ["x"], ["a", "x"]), ("s", ["m"], ["a", "b"])]
     df = spark.createDataFrame(rows, "s string, expected_ids array<string>, retrieved_ids array<string>")
