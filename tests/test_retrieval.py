@@ -185,6 +185,35 @@ def test_keyword_forms_equal_brute_force(spark, monkeypatch, block, warm_up, cel
         assert got == {k: v for k, v in want.items() if v and k in asked}
 
 
+@pytest.mark.parametrize("letters,passes", [(1 << 20, 1), (40, 2)])
+def test_blocks_of_queries_share_a_pass_and_rounds_are_exact(spark, monkeypatch, letters, passes):
+    """One pass over the texts for all blocks whose patterns fit; the newest rows first, then older ones that must score more."""
+    for name, value in {"BLOCK_BYTES": 3000, "GROUP_LETTERS": letters, "FIRST_ROUND": 2, "GROWTH": 2, "DENSE": 64}.items():
+        monkeypatch.setattr(patternsearch, name, value)
+    tables = []
+    plain = patternsearch.written
+    monkeypatch.setattr(patternsearch, "written", lambda df, label, **by: tables.append(label) or plain(df, label, **by))
+    docs, rows, qs, terms = lexical(spark)
+    got = {}
+    for r in rt.keyword_topk(terms, rows.repartition(5), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {k: v for k, v in brute(docs, qs, 5).items() if v}
+    assert tables.count("best") > 2
+    assert tables.count("postings") == 1 if passes == 1 else tables.count("postings") >= passes
+
+
+def test_patterns_with_wildcards_are_looked_for_where_their_letters_are(monkeypatch):
+    words = ["a_b", "x%y", "%", "_", "long name_", "b c", "bc", "\\%"]
+    patterns = PatternSet(words)
+    asked = []
+    search = LikePattern.search
+    monkeypatch.setattr(LikePattern, "search", lambda self, text: asked.append(self.anchor) or search(self, text))
+    for text in ("acb bc", "b c bc bc", "xx y", "", "a long names 5%", "bc bc bc"):
+        asked.clear()
+        assert sorted(patterns.found(text)) == [i for i, w in enumerate(words) if search(LikePattern(w), text)]
+        assert all(anchor in text for anchor in asked)
+
+
 def test_bounds_leave_out_rows_without_a_rare_pattern():
     """Rows that hold only what all rows hold are scored while the heaps fill, then no more."""
     asked = patternsearch.Asked(np.array([7]), ["all", "rare"], np.array([0, 0]), np.array([0, 1]), np.array([False, False]))
