@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Row, Window as W, functions as F, types as T
 
 from loreframe import scale
-from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, graph as kg, lifecycle as lc, models as md, retrieval as rt
+from loreframe.operators import dedupe as dd, evaluation as ev, extraction as ex, gates, graph as kg, lifecycle as lc, models as md, retrieval as rt
 from loreframe.plans import graphs
 from loreframe.sources.faq_jsonl import read_faq_jsonl
 from loreframe.sources.tables import Tables
@@ -32,6 +32,45 @@ def test_scale_helpers_equal_plain_windows(spark):
             before = v
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 20])
+def test_rows_of_all_but_hot_groups_move_once(spark, monkeypatch, hot):
+    """Positions and excerpts are the same whether a group is hot or not; null and rare groups too."""
+    monkeypatch.setattr(scale, "HOT_ROWS", hot)
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), f"e{i:03d}", f"x{rnd.randint(0, 9)}", rnd.randint(0, 30)) for i in range(200)] + [("c", "only", "x", 1)]
+    df = spark.createDataFrame(rows, "g string, id string, excerpt string, created_at int").repartition(5)
+    placed = scale.position_in_group(df, ["g"], F.floor(F.col("created_at") / 4), [F.col("created_at"), F.col("id")], "p")
+    exchanges = placed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges == 1 if hot > 100 else exchanges > 1
+    want = {}
+    for g in ("a", "b", "c", None):
+        for n, r in enumerate(sorted((r[3], r[1]) for r in rows if r[0] == g), 1):
+            want[r[1]] = n
+    assert {r.id: r.p for r in placed.collect()} == want
+    live = df.filter("g is not null").select(F.col("g").alias("entity_id"), F.lit(None).cast("string").alias("relation_id"), "id", "excerpt", "created_at")
+    texts = {r.id: r.evidence_text for r in kg.evidence_excerpts(live).collect()}
+    for g in ("a", "b", "c"):
+        first = {}
+        for _, _, excerpt in sorted((r[3], r[1], r[2]) for r in rows if r[0] == g):
+            first.setdefault(excerpt)
+        assert texts[g] == "\n".join(first)
+
+
+def test_often_cited_evidence_is_filtered_where_it_is_read(spark):
+    """The same rows as the live evidence, without moving them to the chunks; null and repeated keys too."""
+    evidence = spark.createDataFrame(
+        [("1", "document", "f", "c"), ("1", "document", "f", "c"), ("2", "document", "f", "off"), ("3", "document", "g", "c"), ("4", "document", "f", None),
+         ("5", "faq", "q", None), ("6", "faq", "none", None), ("7", "document", "off", "d"), ("8", "other", "f", "c"), ("9", "document", None, "c")],
+        "id string, source_type string, source_id string, source_chunk_id string",
+    )
+    files = spark.createDataFrame([("f", False), ("f", False), ("off", True), ("g", False)], "id string, is_disabled boolean")
+    chunks = spark.createDataFrame([("c", "f", False), ("c", "f", False), ("off", "f", True), ("d", "off", False)], "id string, file_id string, is_disabled boolean")
+    faqs = spark.createDataFrame([("q", "usable"), ("none", "disabled")], "id string, status string")
+    cited = gates.often_cited_evidence(evidence, files, chunks, faqs)
+    assert sorted(r.id for r in cited.collect()) == sorted(r.id for r in gates.live_evidence(evidence, files, chunks, faqs).collect()) == ["1", "1", "5"]
+    assert "Exchange hashpartitioning" not in cited._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_and_upsert(spark):
     base = spark.createDataFrame([("a", 1, 1, 0), ("b", 1, 1, 0)], "id string, v int, updated_at int, created_at int")
     new = spark.createDataFrame([("a", 2, 2, 9), ("a", 3, 3, 9), ("c", 4, 1, 9)], base.schema)
