@@ -192,7 +192,7 @@ def test_blocks_of_queries_share_a_pass_and_rounds_are_exact(spark, monkeypatch,
         monkeypatch.setattr(patternsearch, name, value)
     tables = []
     plain = patternsearch.written
-    monkeypatch.setattr(patternsearch, "written", lambda df, label, **by: tables.append(label) or plain(df, label, **by))
+    monkeypatch.setattr(patternsearch, "written", lambda df, label: tables.append(label) or plain(df, label))
     docs, rows, qs, terms = lexical(spark)
     got = {}
     for r in rt.keyword_topk(terms, rows.repartition(5), 5).orderBy("query_id", "rank").collect():
